@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardlake.rules import UNICODE_SPACE
+
 # The Unicode White_Space characters, for trimming as the scanners trim.
 WHITE_SPACE = "".join(map(chr, (
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -22,6 +25,11 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return any_of(text.contains(w) for w in words)
 
 
+def has_word(text: Column, words: Iterable[str]) -> Column:
+    """Same as :func:`contains_any` in one regex: ``text`` is computed once. For hits."""
+    return text.rlike("|".join(re.escape(w) for w in words))
+
+
 def ends_with_any(text: Column, suffixes: Iterable[str]) -> Column:
     return any_of(text.endswith(s) for s in suffixes)
 
@@ -36,8 +44,7 @@ def strip_space(text: Column) -> Column:
 
 
 def is_comment(line: Column) -> Column:
-    start = F.ltrim(line, F.lit(WHITE_SPACE))
-    return any_of(start.startswith(mark) for mark in ("//", "#", "/*", "*"))
+    return line.rlike(rf"\A[{UNICODE_SPACE}]*(?://|#|/\*|\*)")
 
 
 def drop_trailing_cr(line: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions import paths, text as tx
-from wardlake.operators.matching import match_rules, rule_value
+from wardlake.operators.matching import match_rules, rule_value, with_rule_columns
 from wardlake.rules import CODE_RULES, Rule
 from wardlake.schemas import SCAN_KEY
 from wardlake.sources.files import explode_lines, gate_files
@@ -24,12 +24,7 @@ LOCAL_ADDRESSES = ("127.0.0.1", "0.0.0.0", "localhost", "192.168.")
 
 
 def code_issue_candidates(lines: DataFrame, rules: Sequence[Rule] = CODE_RULES) -> DataFrame:
-    return with_code_columns(match_rules(lines, rules), rules)
-
-
-def with_code_columns(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return (hits.withColumn("ordinal", rule_value(rules, "ordinal"))
-            .withColumn("type", rule_value(rules, "type")))
+    return with_rule_columns(match_rules(lines, rules), rules)
 
 
 # --- context checks: true means "legitimate" --------------------------------------------
@@ -39,28 +34,28 @@ def legit_comment() -> Column:
 
 
 def legit_eval() -> Column:
-    return (F.col("type") == "EVAL") & tx.contains_any(F.col("text"), EVAL_MENTIONS)
+    return (F.col("type") == "EVAL") & tx.has_word(F.col("text"), EVAL_MENTIONS)
 
 
 def legit_shell_monitor() -> Column:
     return ((F.col("type") == "SHELL_INJECTION")
-            & tx.contains_any(F.col("text"), MONITOR_COMMANDS)
-            & tx.contains_any(F.col("path"), MONITOR_PATHS))
+            & tx.has_word(F.col("text"), MONITOR_COMMANDS)
+            & tx.has_word(F.col("path"), MONITOR_PATHS))
 
 
 def legit_shell_static() -> Column:
     line, low = F.col("text"), tx.fold_case(F.col("text"))
     return ((F.col("type") == "SHELL_INJECTION") & line.contains(FIXED_SHELL)
-            & ~tx.contains_any(low, ("input", "user")) & ~line.contains("+"))
+            & ~tx.has_word(low, ("input", "user")) & ~line.contains("+"))
 
 
 def legit_sql_bound() -> Column:
-    return (F.col("type") == "SQL_INJECTION") & tx.contains_any(
+    return (F.col("type") == "SQL_INJECTION") & tx.has_word(
         tx.fold_case(F.col("text")), BOUND_SQL)
 
 
 def legit_ip() -> Column:
-    return (F.col("type") == "HARDCODED_IP") & tx.contains_any(F.col("text"), LOCAL_ADDRESSES)
+    return (F.col("type") == "HARDCODED_IP") & tx.has_word(F.col("text"), LOCAL_ADDRESSES)
 
 
 def legitimate() -> Column:

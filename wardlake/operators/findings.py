@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wardlake.functions import paths, text as tx
 from wardlake.operators import code, secrets
-from wardlake.operators.matching import match_rules, rule_value
+from wardlake.operators.matching import match_rules, rule_value, with_rule_columns
 from wardlake.rules import (ADVISORIES, CODE_RULES, MANIFESTS, SECRET_RULES, Advisory, Rule,
                             advisory_rules)
 from wardlake.schemas import SCAN_KEY
@@ -40,12 +40,13 @@ def scan_findings(files: DataFrame, secret_rules: Sequence[Rule] = SECRET_RULES,
     lines = explode_lines(looked_at, False, "scanned", "is_manifest")
     hits = match_rules(lines, rules, gates={"secret": F.col("scanned"),
                                             "code": F.col("scanned"),
-                                            "advisory": F.col("is_manifest")})
+                                            "advisory": F.col("is_manifest")},
+                       extract={"secret"})
 
     rule = F.col("rule")
     family = (F.when(rule < n_secret, SECRET_FAMILY)
               .when(rule < n_secret + n_advisory, CVE_FAMILY).otherwise(CODE_FAMILY))
-    typed = secrets.with_secret_columns(hits, rules).withColumn("family", family)
+    typed = with_rule_columns(hits, rules).withColumn("family", family)
     wrong = (F.when(F.col("family") == SECRET_FAMILY, secrets.gate_false_positive())
              .when(F.col("family") == CODE_FAMILY, code.legitimate()).otherwise(False))
     scored = secrets.with_confidence(typed.where(~wrong), rules)

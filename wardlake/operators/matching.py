@@ -8,7 +8,7 @@ constant (compiled once per task), and the anchors decide most lines without a r
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +31,13 @@ def rule_hits(rule: Rule, text: Column, folded: Column, unicode_space: bool) ->
 
 
 def match_rules(lines: DataFrame, rules: Sequence[Rule], unicode_space: bool = False,
-                gates: Mapping[str, Column] | None = None) -> DataFrame:
+                gates: Mapping[str, Column] | None = None,
+                extract: Collection[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
     """One row per (line, rule that hits); ``rule`` is the position in ``rules``.
 
+    ``extra`` holds further conditions; they count on from the last rule.
     ``gates`` holds, per rule family, a condition lines must meet to be tried at all.
+    Families in ``extract`` also get ``match``, the text of the leftmost match.
     """
     gates = gates or {}
     text, folded = F.col("text"), F.col("_folded")
@@ -46,11 +49,19 @@ def match_rules(lines: DataFrame, rules: Sequence[Rule], unicode_space: bool = F
         hit = rule_hits(rule, text, folded, unicode_space)
         if rule.family in gates:
             hit = gates[rule.family] & hit
-        tries.append(F.when(hit, F.lit(i)))
+        found = [F.lit(i).alias("rule")]
+        if extract:
+            pattern = spell(rule.regex, unicode_space)
+            found.append((F.regexp_extract(text, pattern, rule.group)
+                          if rule.family in extract else F.lit(None).cast("string"))
+                         .alias("match"))
+        tries.append(F.when(hit, F.struct(*found)))
+    for i, condition in enumerate(extra, len(rules)):
+        tries.append(F.when(condition, F.struct(F.lit(i).alias("rule"))))
     chunks = [F.array_compact(F.array(*tries[i:i + RULES_PER_ARRAY]))
               for i in range(0, len(tries), RULES_PER_ARRAY)]
-    found = chunks[0] if len(chunks) == 1 else F.concat(*chunks)
-    return tested.select(*lines.columns, F.explode(found).alias("rule"))
+    hits = chunks[0] if len(chunks) == 1 else F.concat(*chunks)
+    return tested.select(*lines.columns, F.inline(hits))
 
 
 def rule_value(rules: Sequence[Rule], field: str, rule: str = "rule") -> Column:
@@ -59,12 +70,9 @@ def rule_value(rules: Sequence[Rule], field: str, rule: str = "rule") -> Column:
     return F.element_at(values, F.col(rule) + 1)
 
 
-def first_match(rules: Sequence[Rule], unicode_space: bool = False) -> Column:
-    """Text of the leftmost match of the row's rule."""
-    text, rule = F.col("text"), F.col("rule")
-    return F.coalesce(*(
-        F.when(rule == i, F.regexp_extract(text, spell(r.regex, unicode_space), r.group))
-        for i, r in enumerate(rules)))
+def with_rule_columns(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    return (hits.withColumn("ordinal", rule_value(rules, "ordinal"))
+            .withColumn("type", rule_value(rules, "type")))
 
 
 def match_start(rules: Sequence[Rule], unicode_space: bool = False) -> Column:

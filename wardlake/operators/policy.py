@@ -17,6 +17,8 @@ from wardlake.schemas import SCAN_KEY
 
 # Highest score (exclusive) per environment.
 THRESHOLDS = {"prod": 50, "staging": 70, "dev": 100}
+CRITICAL_CVSS, HIGH_CVSS = 9.0, 7.0
+CRITICAL_CODE = 3
 VIOLATION, WARNING = "violation", "warning"
 
 
@@ -50,10 +52,22 @@ def risk_message() -> Column:
 
 
 def code_message() -> Column:
-    return F.when(F.col("n_critical_code") >= 3, F.format_string(
+    return F.when(F.col("n_critical_code") >= CRITICAL_CODE, F.format_string(
         "%d critical code patterns detected", F.col("n_critical_code")))
 
 
+def secret_message(kind: Column, file: Column, line: Column) -> Column:
+    return F.format_string("Critical secret detected: %s in %s:%d", kind, file, line)
+
+
+def cve_message(cve: Column) -> Column:
+    """``cve`` is a struct with the fields of a CVE finding."""
+    lead = F.when(cve["cvss"] >= CRITICAL_CVSS, "Critical CVE detected").otherwise(
+        "High severity CVE")
+    return F.format_string("%s: %s (CVSS %.1f) in %s", lead, cve["cve"], cve["cvss"],
+                           cve["package"])
+
+
 def risk_messages(verdicts: DataFrame) -> DataFrame:
     return (verdicts.select(*SCAN_KEY, risk_message().alias("message"))
             .where(F.col("message").isNotNull()))
@@ -62,20 +76,17 @@ def risk_messages(verdicts: DataFrame) -> DataFrame:
 def secret_messages(findings: DataFrame) -> DataFrame:
     """One violation per critical secret."""
     hit = (F.col("family") == SECRET_FAMILY) & (F.col("f.severity") == "CRITICAL")
-    return findings.where(hit).select(*SCAN_KEY, "f.pos", F.format_string(
-        "Critical secret detected: %s in %s:%d", F.col("f.type"), F.col("f.file"),
-        F.col("f.line")).alias("message"))
+    message = secret_message(F.col("f.type"), F.col("f.file"), F.col("f.line"))
+    return findings.where(hit).select(*SCAN_KEY, "f.pos", message.alias("message"))
 
 
 def cve_messages(findings: DataFrame) -> DataFrame:
     """CVSS 9 and above is a violation, 7 and above a warning."""
-    hit = (F.col("family") == CVE_FAMILY) & (F.col("f.cvss") >= 7.0)
-    critical = F.col("f.cvss") >= 9.0
-    lead = F.when(critical, "Critical CVE detected").otherwise("High severity CVE")
-    return findings.where(hit).select(
-        *SCAN_KEY, "f.pos", F.when(critical, VIOLATION).otherwise(WARNING).alias("kind"),
-        F.format_string("%s: %s (CVSS %.1f) in %s", lead, F.col("f.type"), F.col("f.cvss"),
-                        F.col("f.package")).alias("message"))
+    hit = (F.col("family") == CVE_FAMILY) & (F.col("f.cvss") >= HIGH_CVSS)
+    kind = F.when(F.col("f.cvss") >= CRITICAL_CVSS, VIOLATION).otherwise(WARNING)
+    cve = F.struct(F.col("f.type").alias("cve"), "f.cvss", "f.package")
+    return findings.where(hit).select(*SCAN_KEY, "f.pos", kind.alias("kind"),
+                                      cve_message(cve).alias("message"))
 
 
 def code_messages(verdicts: DataFrame) -> DataFrame:

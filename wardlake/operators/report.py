@@ -53,20 +53,8 @@ def gate_exit_code() -> Column:
     return F.when(F.col("passed"), 0).otherwise(1)
 
 
-def _entries(findings: DataFrame, messages: DataFrame) -> DataFrame:
-    """Findings and messages in one table: slot, sort position, payload."""
-    item = findings.schema["f"].dataType
-    found = findings.select(*SCAN_KEY, F.col("family").alias("slot"), F.lit(0).alias("rule"),
-                            F.col("f.pos").alias("pos"), "f",
-                            F.lit(None).cast("string").alias("message"))
-    slot = F.when(F.col("kind") == policy.VIOLATION, VIOLATION_SLOT).otherwise(WARNING_SLOT)
-    told = messages.select(*SCAN_KEY, slot.alias("slot"), "rule", "pos",
-                           F.lit(None).cast(item).alias("f"), "message")
-    return found.unionByName(told)
-
-
 def _collect(slot: int, payload: Column) -> Column:
-    """Payloads of one slot in order, nulls (other slots) left out by collect_list."""
+    """Payloads of one slot in order; rows of other slots are null and not collected."""
     picked = F.when(F.col("slot") == slot, F.struct("rule", "pos", payload.alias("item")))
     return F.transform(F.array_sort(F.collect_list(picked)), lambda e: e["item"])
 
@@ -75,32 +63,58 @@ def _fields(schema, **renamed: str) -> Column:
     return F.struct(*(F.col(f"f.{renamed.get(n, n)}").alias(n) for n in schema.names))
 
 
+def _texts(*messages: Column) -> Column:
+    return F.array_compact(F.array(*messages))
+
+
 def scan_result(requests: DataFrame, findings: DataFrame, part_rows: int = PART_ROWS,
                 with_anomalies: bool = True, **policy_options) -> DataFrame:
-    """The nested scan result (see ``SCAN_RESULT``) plus ``part``."""
+    """The nested scan result (see ``SCAN_RESULT``) plus ``part``.
+
+    ``findings`` is read by three branches (statistics, score, arrays), none of which
+    filters or narrows it before its last shuffle, so that shuffle is computed once and
+    reused. Messages about findings are made from the collected arrays for the same reason.
+    """
     report = scan_report(requests, findings, **policy_options)
-    messages = policy.policy_messages(report, findings, with_anomalies)
-    entries = with_part(_entries(findings, messages), SCAN_KEY,
-                        [*SCAN_KEY, "slot", "rule", "pos", "message"], part_rows)
-    arrays = entries.groupBy(*SCAN_KEY, "part").agg(
+    total = F.col("n_secrets") + F.col("n_cves") + F.col("n_code_issues")
+    parts = report.select(*SCAN_KEY, F.ceil(total / part_rows).alias("_parts"))
+    spread = F.pmod(F.xxhash64("family", "f.pos"), F.greatest("_parts", F.lit(1))).cast("int")
+    parted = (findings.join(parts, SCAN_KEY)
+              .select(*SCAN_KEY, spread.alias("part"), F.col("family").alias("slot"),
+                      F.lit(0).alias("rule"), F.col("f.pos").alias("pos"), "f"))
+    arrays = parted.groupBy(*SCAN_KEY, "part").agg(
         _collect(SECRET_FAMILY, _fields(SECRET)).alias("secrets"),
         _collect(CVE_FAMILY, _fields(CVE, cve="type")).alias("cves"),
-        _collect(CODE_FAMILY, _fields(CODE_ISSUE)).alias("code_issues"),
-        _collect(VIOLATION_SLOT, F.col("message")).alias("violations"),
-        _collect(WARNING_SLOT, F.col("message")).alias("warnings"))
-    joined = report.select(*SCAN_KEY, "scan_ts", "risk_score", "risk_level", "passed",
-                           "summary").join(arrays, SCAN_KEY, "left")
+        _collect(CODE_FAMILY, _fields(CODE_ISSUE)).alias("code_issues"))
+    joined = report.join(arrays, SCAN_KEY, "left")
 
     def or_empty(name: str, kind) -> Column:
         return F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
 
     kinds = {f.name: f.dataType for f in SCAN_RESULT}
-    result = kinds["policy_result"]
-    return joined.select(
-        F.col("scan_ts").alias("timestamp"), *SCAN_KEY, F.coalesce("part", F.lit(0)).alias("part"),
-        "risk_score", "risk_level", "passed",
-        *(or_empty(n, kinds[n]) for n in ("secrets", "cves", "code_issues")),
-        F.struct("passed", *(or_empty(n, result[n].dataType) for n in ("violations", "warnings")))
+    whole = joined.select(
+        "*", *(or_empty(n, kinds[n]).alias(f"_{n}") for n in ("secrets", "cves", "code_issues")),
+        F.coalesce("part", F.lit(0)).alias("_part"))
+    # Messages about the scan as a whole go to part 0, messages about a finding to its part.
+    whole_scan = F.col("_part") == 0
+    critical_secrets = F.filter("_secrets", lambda s: s["severity"] == "CRITICAL")
+    violations = F.concat(
+        _texts(F.when(whole_scan, policy.risk_message())),
+        F.transform(critical_secrets, lambda s: policy.secret_message(
+            s["type"], s["file"], s["line"])),
+        F.transform(F.filter("_cves", lambda c: c["cvss"] >= policy.CRITICAL_CVSS),
+                    policy.cve_message))
+    warnings = F.concat(
+        F.transform(F.filter("_cves", lambda c: (c["cvss"] >= policy.HIGH_CVSS)
+                             & (c["cvss"] < policy.CRITICAL_CVSS)), policy.cve_message),
+        _texts(F.when(whole_scan, policy.code_message())),
+        F.when(whole_scan & F.lit(with_anomalies), anomalies.anomaly_warnings())
+        .otherwise(F.array().cast("array<string>")))
+    return whole.select(
+        F.col("scan_ts").alias("timestamp"), *SCAN_KEY, F.col("_part").alias("part"),
+        "risk_score", "risk_level", "passed", F.col("_secrets").alias("secrets"),
+        F.col("_cves").alias("cves"), F.col("_code_issues").alias("code_issues"),
+        F.struct("passed", violations.alias("violations"), warnings.alias("warnings"))
         .alias("policy_result"), "summary")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions import paths, text as tx
-from wardlake.operators.matching import first_match, match_rules, rule_value
+from wardlake.operators.matching import match_rules, rule_value, with_rule_columns
 from wardlake.rules import SECRET_RULES, Rule
 from wardlake.schemas import SCAN_KEY
 from wardlake.sources.files import explode_lines, gate_files, strict_files
@@ -35,15 +35,8 @@ COMMENT_MARKS = ("//", "#", "/*", "*")
 def secret_candidates(lines: DataFrame, rules: Sequence[Rule] = SECRET_RULES,
                       unicode_space: bool = False) -> DataFrame:
     """Lines x rules where the rule hits, with the first match per line and rule."""
-    hits = match_rules(lines, rules, unicode_space)
-    return with_secret_columns(hits, rules, unicode_space)
-
-
-def with_secret_columns(hits: DataFrame, rules: Sequence[Rule],
-                        unicode_space: bool = False) -> DataFrame:
-    return (hits.withColumn("ordinal", rule_value(rules, "ordinal"))
-            .withColumn("type", rule_value(rules, "type"))
-            .withColumn("match", first_match(rules, unicode_space)))
+    hits = match_rules(lines, rules, unicode_space, extract={r.family for r in rules})
+    return with_rule_columns(hits, rules)
 
 
 # --- context filters: true means "not a finding" ---------------------------------------
@@ -55,11 +48,11 @@ def fp_comment() -> Column:
 def fp_password() -> Column:
     low = tx.fold_case(F.col("text"))
     no_value = low.contains("password") & ~F.col("text").contains("=")
-    return (F.col("type") == "PASSWORD") & (no_value | tx.contains_any(low, PASSWORD_NAMES))
+    return (F.col("type") == "PASSWORD") & (no_value | tx.has_word(low, PASSWORD_NAMES))
 
 
 def fp_test_path() -> Column:
-    in_tests = tx.contains_any(F.col("path"), TEST_PATH_PARTS)
+    in_tests = tx.has_word(F.col("path"), TEST_PATH_PARTS)
     return in_tests & ~F.col("type").isin(*ALWAYS_REPORTED)
 
 
@@ -68,13 +61,13 @@ def fp_docs() -> Column:
 
 
 def fp_placeholder() -> Column:
-    return tx.contains_any(tx.fold_case(F.col("match")), PLACEHOLDERS)
+    return tx.has_word(tx.fold_case(F.col("match")), PLACEHOLDERS)
 
 
 def doc_context() -> Column:
     """The line talks about documentation or examples."""
     low = tx.fold_case(F.col("text"))
-    return tx.contains_any(low, DOC_CONTEXTS) | (
+    return tx.has_word(low, DOC_CONTEXTS) | (
         (F.col("type") == "GOOGLE_API_KEY") & low.contains(CONSOLE_URL))
 
 
@@ -110,13 +103,13 @@ def confidence(rules: Sequence[Rule] = SECRET_RULES, strict: bool = False) -> Co
     line, low = F.col("text"), tx.fold_case(F.col("text"))
     size, entropy = F.octet_length("match"), F.col("entropy")
     factors = [
-        _when(tx.contains_any(low, SECRET_WORDS), 0.2),
+        _when(tx.has_word(low, SECRET_WORDS), 0.2),
         _when(line.contains("=") & (line.contains('"') | line.contains("'")), 0.15),
         rule_value(rules, "confidence_boost"),
     ]
     if not strict:
-        factors += [_when(tx.contains_any(low, SAMPLE_WORDS), -0.3),
-                    _when(tx.contains_any(low, COMMENT_MARKS), -0.2)]
+        factors += [_when(tx.has_word(low, SAMPLE_WORDS), -0.3),
+                    _when(tx.has_word(low, COMMENT_MARKS), -0.2)]
     factors += [
         _when(doc_context(), -0.4),
         F.when(entropy > 4.0, 0.2).when(entropy > 3.0, 0.1).when(entropy < 2.0, -0.2)
