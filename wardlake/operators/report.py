@@ -35,7 +35,7 @@ def with_part(rows: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
             .withColumn("part", F.coalesce(spread, F.lit(0))).drop("_parts"))
 
 
-def summary(counts: Column | None = None) -> Column:
+def summary() -> Column:
     verdict = F.when(F.col("passed"), "APPROVED").otherwise("BLOCKED")
     return F.format_string(
         "Scan completed: %d secrets, %d CVEs, %d code issues. Risk level: %s (%d/100). "
@@ -118,9 +118,16 @@ def scan_result(requests: DataFrame, findings: DataFrame, part_rows: int = PART_
         .alias("policy_result"), "summary")
 
 
-def policy_result(verdicts: DataFrame, messages: DataFrame,
-                  part_rows: int = PART_ROWS) -> DataFrame:
-    """passed + ordered violations and warnings per scan (in parts)."""
+def policy_result(requests: DataFrame, findings: DataFrame, part_rows: int = PART_ROWS,
+                  **policy_options) -> DataFrame:
+    """passed + ordered violations and warnings per scan (in parts), one read of findings."""
+    result = scan_result(requests, findings, part_rows, with_anomalies=False, **policy_options)
+    return result.select(*SCAN_KEY, "part", "policy_result.*")
+
+
+def collect_messages(verdicts: DataFrame, messages: DataFrame,
+                     part_rows: int = PART_ROWS) -> DataFrame:
+    """Message rows gathered to the same layout."""
     parted = with_part(messages, SCAN_KEY, [*SCAN_KEY, "rule", "pos", "message"], part_rows)
     slotted = parted.withColumn(
         "slot", F.when(F.col("kind") == policy.VIOLATION, VIOLATION_SLOT).otherwise(WARNING_SLOT))
@@ -166,7 +173,7 @@ def validate_policy(results: DataFrame, part_rows: int = PART_ROWS, **options) -
     scored = scans.join(counts, SCAN_KEY, "left").fillna(
         0, subset=["n_critical_secrets", "n_critical_cves", "n_critical_code"])
     verdicts = policy.with_verdict(scored, **options)
-    return policy_result(verdicts, policy.policy_messages(verdicts, found), part_rows)
+    return collect_messages(verdicts, policy.policy_messages(verdicts, found), part_rows)
 
 
 def markdown_report(results: DataFrame) -> DataFrame:

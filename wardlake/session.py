@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +19,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for stream checkpoints and intermediate tables.
+
+    Below the shared folder the cluster names; a local temporary one only where none is
+    set (local runs and tests).
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/wardlake-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")

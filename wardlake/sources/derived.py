@@ -218,27 +218,30 @@ WATCHED_PATH = ("case k % 5 when 0 then '/etc/passwd' when 1 then '/etc/shadow'
                 "else concat('/home/u', cast(user_id as string), '/.ssh/authorized_keys') end")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_ticks(events: DataFrame) -> DataFrame:
     """Events by host and 4-hour tick; ``seq`` is the event id, which orders lines in a tick."""
-    tick = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 14400) * 14400)
-    return table(spark, sf_dir, "events").selectExpr(*_columns(EVENT_COLUMNS), "ts").select(
-        "host", tick.alias("tick_ts"), F.col("event_id").alias("seq"), "event_id", "k",
+    # Floored on the wall-clock fields, so the session's time zone does not matter.
+    tick = F.expr("cast(date_trunc('HOUR', ts) - make_dt_interval(0, hour(ts) % 4) as timestamp)")
+    return events.selectExpr(*_columns(EVENT_COLUMNS), "ts").select(
+        "host", tick.alias("tick_ts"), F.col("event_id").cast("int").alias("seq"), "event_id", "k",
         "event_type", "user_id", "value")
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_ticks(table(spark, sf_dir, "events"))
+
+
 def net_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).selectExpr("host", "tick_ts", "seq", f"{NET_LINE} as line")
 
 
 def process_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tick's listing starts with a header line (seq -1)."""
-    listed = _events(spark, sf_dir).selectExpr("host", "tick_ts", "seq",
-                                               f"{PROCESS_LINE} as line")
-    return listed
+    return _events(spark, sf_dir).selectExpr("host", "tick_ts", "seq",
+                                             f"{PROCESS_LINE} as line")
 
 
 def file_mtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).selectExpr(
         "host", "tick_ts", f"{WATCHED_PATH} as path",
-        "timestamp_micros(unix_micros(tick_ts) - cast(round(value * 1000000) as bigint)) as mtime",
+        "timestamp_micros(unix_micros(tick_ts) - cast(round(value * 30000000) as bigint)) as mtime",
         "event_id")
