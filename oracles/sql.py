@@ -147,7 +147,7 @@ def cte(name: str, sql: str, *deps: str) -> None:
     CTES[name] = (deps, sql)
 
 
-cte("files", f"SELECT *, {REL} AS rel_path FROM (SELECT {_cols(d.file_columns('duckdb'))} FROM documents)")
+cte("files", f"SELECT *, {REL} AS rel_path FROM (SELECT {_cols(d.file_columns())} FROM documents)")
 cte("tree", f"SELECT *, {REL} AS rel_path FROM (SELECT {_cols({**d.KEY_COLUMNS, 'path': d.TREE_PATH, 'content': 'text'})} FROM documents)")
 cte("manifests", f"SELECT *, {REL} AS rel_path FROM (SELECT {_cols(d.MANIFEST_COLUMNS)} FROM documents WHERE doc_id % 4 = 0)")
 cte("requests", f"SELECT *, {_cols(d.POLICY_COLUMNS)} FROM (SELECT {_cols(d.REQUEST_COLUMNS)} FROM documents WHERE doc_id % 4 = 0)")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.schemas import SCAN_KEY
@@ -90,10 +90,10 @@ def pick(values: list[str], index: str, dialect: str) -> str:
     return f"list_extract([{items}], cast({index} as int) + 1)"
 
 
-def planted(dialect: str) -> str:
-    """SQL for the planted text: a template by ``doc_id``, its fillers replaced."""
+def planted() -> str:
+    """DuckDB SQL for the planted text: a template by ``doc_id``, its fillers replaced."""
     blank = [""] * (PLANT_CYCLE - len(PLANTS))
-    sql = pick([text for _, text in PLANTS] + blank, f"doc_id % {PLANT_CYCLE}", dialect)
+    sql = pick([text for _, text in PLANTS] + blank, f"doc_id % {PLANT_CYCLE}", "duckdb")
     for name, value in FILLERS.items():
         sql = f"replace({sql}, '{name}', {value})"
     return sql
@@ -104,11 +104,12 @@ def extension(dialect: str) -> str:
     return pick([ext for ext, _ in PLANTS] + rest, f"doc_id % {PLANT_CYCLE}", dialect)
 
 
-def file_columns(dialect: str) -> dict[str, str]:
+def file_columns() -> dict[str, str]:
+    """DuckDB SQL of the columns of :func:`code_files`."""
     return {
         **KEY_COLUMNS,
-        "path": f"concat({REPO}, '/', lang, '/f', cast(doc_id as string), {extension(dialect)})",
-        "content": f"concat(text, chr(10), {planted(dialect)})",
+        "path": f"concat({REPO}, '/', lang, '/f', cast(doc_id as string), {extension('duckdb')})",
+        "content": f"concat(text, chr(10), {planted()})",
     }
 
 
@@ -142,8 +143,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _expressions(spec: dict[str, str]) -> list[Column]:
+    return [F.expr(sql).alias(name) for name, sql in spec.items()]
+
+
+def _source_file() -> tuple[Column, Column]:
+    """Path and content. Built call by call: nested SQL text of this depth parses slowly."""
+    k = f"doc_id % {PLANT_CYCLE}"
+    templates = [text for _, text in PLANTS] + [""] * (PLANT_CYCLE - len(PLANTS))
+    planted_line = F.expr(pick(templates, k, "spark"))
+    for name, value in FILLERS.items():
+        planted_line = F.replace(planted_line, F.lit(name), F.expr(value))
+    path = F.concat(F.expr(REPO), F.lit("/"), "lang", F.lit("/f"),
+                    F.col("doc_id").cast("string"), F.expr(extension("spark")))
+    return path, F.concat("text", F.lit("\n"), planted_line)
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*_columns(file_columns("spark")))
+    path, content = _source_file()
+    return table(spark, sf_dir, "documents").select(
+        *_expressions(KEY_COLUMNS), path.alias("path"), content.alias("content"))
 
 
 def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,14 +178,12 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files and manifests of every repository: one row of ``documents`` gives its
     file and, for the first document of a repository, the manifest; one read of the table."""
-    source, manifest = file_columns("spark"), MANIFEST_COLUMNS
-    return table(spark, sf_dir, "documents").selectExpr(
-        *_columns(KEY_COLUMNS),
-        f"""inline(filter(array(
-              named_struct('path', {source['path']}, 'content', {source['content']}),
-              if(doc_id % 4 = 0, named_struct('path', {manifest['path']},
-                                              'content', {manifest['content']}), null)),
-            f -> f is not null))""")
+    path, content = _source_file()
+    manifest = F.struct(F.expr(MANIFEST_COLUMNS["path"]).alias("path"),
+                        F.expr(MANIFEST_COLUMNS["content"]).alias("content"))
+    rows = F.array_compact(F.array(F.struct(path.alias("path"), content.alias("content")),
+                                   F.when(F.expr("doc_id % 4 = 0"), manifest)))
+    return table(spark, sf_dir, "documents").select(*_expressions(KEY_COLUMNS), F.inline(rows))
 
 
 REQUEST_COLUMNS = {
