@@ -220,26 +220,27 @@ def rollback_decision(anomalies: DataFrame) -> DataFrame:
 
     Critical ticks always do and leave the counter alone. Other ticks have exactly one
     anomaly (the port checks exclude each other), so every third of them does. The count
-    is a running one per host, taken in two levels (within a day, and days before it), so
-    no task holds all ticks of a busy host.
+    is a running one per host, taken in two levels: a host's days are one row each, and the
+    running count within a day is its own small window.
     """
     ticks = tick_summary(anomalies)
     calm = F.col("n_critical") == 0
-    day = F.to_date("tick_ts")
-    by_day = (ticks.where(calm).groupBy("host", day.alias("day"))
-              .agg(F.sum("n_anomalies").alias("n_day")))
+    counted = F.when(calm, F.col("n_anomalies")).otherwise(0)
+    # Ticks of one host and day: bounded by the tick interval.
+    days = (ticks.groupBy("host", F.to_date("tick_ts").alias("day"))
+            .agg(F.sum(counted).alias("n_day"),
+                 F.collect_list(F.struct("tick_ts", "n_anomalies", "n_critical", "anomalies"))
+                 .alias("ticks")))
     earlier = (Window.partitionBy("host").orderBy("day")
                .rowsBetween(Window.unboundedPreceding, -1))
-    before = by_day.withColumn("before", F.coalesce(F.sum("n_day").over(earlier), F.lit(0)))
     in_day = (Window.partitionBy("host", "day").orderBy("tick_ts")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = ticks.withColumn("day", day).withColumn(
-        "within", F.sum(F.when(calm, F.col("n_anomalies")).otherwise(0)).over(in_day))
-    joined = counted.join(before.drop("n_day"), ["host", "day"], "left")
-    total = F.col("within") + F.coalesce("before", F.lit(0))
-    rollback = ~calm | (total % ROLLBACK_AFTER == 0)
-    return joined.select(*TICK, "n_anomalies", "n_critical", rollback.alias("rollback"),
-                         "anomalies")
+    rows = (days.withColumn("before", F.coalesce(F.sum("n_day").over(earlier), F.lit(0)))
+            .select("host", "day", "before", F.inline("ticks"))
+            .withColumn("total", F.col("before") + F.sum(counted).over(in_day)))
+    rollback = ~calm | (F.col("total") % ROLLBACK_AFTER == 0)
+    return rows.select(*TICK, "n_anomalies", "n_critical", rollback.alias("rollback"),
+                       "anomalies")
 
 
 def rollback_requests(decisions: DataFrame) -> DataFrame:

@@ -243,8 +243,13 @@ def incremental_scan(s: SparkSession, p: str) -> DataFrame:
 
 # --- score, anomalies, policy --------------------------------------------------------------
 
+def _found(s: SparkSession, p: str) -> DataFrame:
+    """Findings of all repositories, written once because statistics and score both read them."""
+    return scan_plan.stored_table(scan_findings(d.scan_files(s, p)))
+
+
 def _scored(s: SparkSession, p: str) -> DataFrame:
-    return scoring.scored_scans(d.requests(s, p), scan_findings(d.scan_files(s, p)))
+    return scoring.scored_scans(d.requests(s, p), _found(s, p))
 
 
 def _verdicts(s: SparkSession, p: str) -> DataFrame:
@@ -260,8 +265,7 @@ def _joined(result: DataFrame) -> DataFrame:
 define("risk_score", lambda s, p: _scored(s, p).select("repo_path", "risk_score"))
 define("risk_level", lambda s, p: _scored(s, p).select("repo_path", "risk_level"))
 define("risk_score_only", lambda s, p: scoring.risk_score(
-    d.requests(s, p), scan_findings(d.scan_files(s, p))).select(
-        "repo_path", "risk_score", "risk_level"))
+    d.requests(s, p), _found(s, p)).select("repo_path", "risk_score", "risk_level"))
 for _name, _fn in (("anomaly_filetype", anomalies.filetype_warning),
                    ("anomaly_all_high_conf", anomalies.all_high_warning),
                    ("anomaly_majority_critical", anomalies.majority_warning)):
@@ -272,7 +276,7 @@ define("scan_anomalies", lambda s, p: anomalies.scan_anomalies(_scored(s, p)).se
 define("scan_counts", lambda s, p: _scored(s, p).select(
     "repo_path", "n_secrets", "n_cves", "n_code_issues"))
 define("scan_summary", lambda s, p: report.scan_report(
-    d.requests(s, p), scan_findings(d.scan_files(s, p))).select("repo_path", "summary"))
+    d.requests(s, p), _found(s, p)).select("repo_path", "summary"))
 
 
 def scan_results(s: SparkSession, p: str) -> DataFrame:
@@ -329,7 +333,7 @@ define("policy_cve", lambda s, p: policy.cve_messages(
 define("policy_code", lambda s, p: policy.code_messages(_verdicts(s, p)).select(
     "repo_path", "message"))
 def _policy(s: SparkSession, p: str) -> DataFrame:
-    return report.policy_result(d.requests(s, p), scan_findings(d.scan_files(s, p)))
+    return report.policy_result(d.requests(s, p), _found(s, p))
 
 
 define("policy_result", lambda s, p: _joined(_policy(s, p)))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.schemas import SCAN_KEY
+from wardlake.sources.files import spread
 
 # {H} is the md5 of doc_id, {Hn} its first n characters, {U16} the first 16 in capitals,
 # {G16} the same from the repository's md5.
@@ -159,9 +160,13 @@ def _source_file() -> tuple[Column, Column]:
     return path, F.concat("text", F.lit("\n"), planted_line)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, content = _source_file()
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         *_expressions(KEY_COLUMNS), path.alias("path"), content.alias("content"))
 
 
@@ -183,7 +188,7 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr(MANIFEST_COLUMNS["content"]).alias("content"))
     rows = F.array_compact(F.array(F.struct(path.alias("path"), content.alias("content")),
                                    F.when(F.expr("doc_id % 4 = 0"), manifest)))
-    return table(spark, sf_dir, "documents").select(*_expressions(KEY_COLUMNS), F.inline(rows))
+    return documents(spark, sf_dir).select(*_expressions(KEY_COLUMNS), F.inline(rows))
 
 
 REQUEST_COLUMNS = {

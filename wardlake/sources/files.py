@@ -51,6 +51,18 @@ def parse_scan_results(documents: DataFrame, column: str = "document") -> DataFr
     return documents.select(F.from_json(column, SCAN_RESULT).alias("r")).select("r.*")
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Repartitions a table read in fewer splits than there are cores (say one row group).
+
+    Decided from the scan's split count, without running anything. Tables of many splits,
+    as any large one is, come back unchanged.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, *keys)
+
+
 def with_rel_path(files: DataFrame) -> DataFrame:
     return files.withColumn("rel_path", paths.relative_path(F.col("repo_path"), F.col("path")))
 
