@@ -67,7 +67,7 @@ add("adv_description", "SELECT path, line, type, description FROM adv_hits", "ad
 add("vulnerability_class", "SELECT path, line, type, vulnerability_class FROM adv_hits", "adv_hits")
 add("tainted_flow", "SELECT * FROM tainted", "tainted")
 add("weak_crypto", "SELECT * FROM crypto", "crypto")
-add("source_tokens", r"SELECT path, token, (nl + 1)::INTEGER AS line, (off - line_start + 1)::INTEGER AS ""column"" FROM tokens WHERE NOT regexp_matches(token, '^\s+$')".replace('""', '"'), "tokens")
+add("source_tokens", r"""SELECT path, token, (nl + 1)::INTEGER AS line, (off - line_start + 1)::INTEGER AS "column" FROM tokens WHERE NOT regexp_matches(token, '^\s+$')""", "tokens")
 for _n in SITES:
     add(_n, f"SELECT * FROM {_n}_x", f"{_n}_x")
 add("code_context", "SELECT file, line, finding_type, code_context FROM advanced", "advanced")
