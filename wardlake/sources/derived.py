@@ -250,7 +250,7 @@ def event_ticks(events: DataFrame) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_ticks(table(spark, sf_dir, "events"))
+    return event_ticks(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def net_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
