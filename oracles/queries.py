@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.sql import (ANY_FP, ANY_LEGIT, BAD_PORTS, BARE_EXT, CVE_TAIL, DIRS, DOT_EXT, ENTROPY, FP,
+from oracles.sql import (BAD_PORTS, BARE_EXT, CVE_TAIL, DIRS, DOT_EXT, FP,
                          LEGIT, LIKELY, MASK_GATE, MASK_STRICT, RISK_MSG, SECRET_MSG, SITES, SKIP_GATE,
                          SKIP_GATE_EXT, STRICT_DIRS, STRICT_EXTS, UNNEST_LINES, build)
 

@@ -154,3 +154,13 @@ def test_pipeline_reads_the_text_once(spark):
     other = SF.replace("sf0.001", "sf0.01")  # not the cached table of the other tests
     plan_text = scan_findings(d.scan_files(spark, other))._jdf.queryExecution().toString()
     assert plan_text.split("== Physical Plan ==")[1].count("FileScan") == 1
+
+
+def test_read_several_repositories(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "requirements.txt").write_text("django==2.2\n")
+    files = fs.read_repositories(spark, [
+        {"repo_path": str(tmp_path / n), "branch": n, "commit_hash": "c"} for n in ("one", "two")])
+    got = sorted((r.branch, r.cve) for r in deps.cve_findings(files).collect())
+    assert got == [("one", "CVE-2023-24580"), ("two", "CVE-2023-24580")]

@@ -118,3 +118,12 @@ def test_user_rules_from_a_table(spark, make_files):
     assert (got.type, got.severity, got.match) == ("MINE", "HIGH", "***")
     with pytest.raises(ValueError):
         rules_from_table(table.unionAll(table), limit=1)
+
+
+def test_one_secret_copied_into_most_files(make_files):
+    key, other = 'k = "AKIA' + "A1B2C3D4E5F6G7H8" + '"', 'k = "AKIA' + "Z1B2C3D4E5F6G7H8" + '"'
+    files = make_files(*((f"d{i % 7}/f{i}.py", f"x\n{key}\n{key}") for i in range(300)),
+                       ("z.py", other)).repartition(8)
+    gate = sorted((r.file, r.line) for r in secrets.secrets_gate(files).collect())
+    assert gate == [("d0/f0.py", 2), ("z.py", 1)]
+    assert secrets.secrets_strict(files).count() == 301

@@ -52,10 +52,6 @@ def drop_trailing_cr(line: Column) -> Column:
     return F.when(line.endswith("\r"), shorter).otherwise(line)
 
 
-def byte_length(text: Column) -> Column:
-    return F.octet_length(text)
-
-
 def shannon_entropy(text: Column) -> Column:
     """Bits per symbol. Counts are of characters, the divisor is the length in bytes.
 
@@ -88,9 +84,3 @@ def mask_strict(secret: Column) -> Column:
 
 def match_hash(secret: Column) -> Column:
     return F.sha2(secret, 256)
-
-
-def byte_column(line: Column, regex: str) -> Column:
-    """1-based byte column where ``regex`` first matches ``line`` (0 when it does not)."""
-    at = F.regexp_instr(line, F.lit(regex))
-    return F.when(at > 0, F.octet_length(F.substring(line, F.lit(1), at - 1)) + 1).otherwise(0)

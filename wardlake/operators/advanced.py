@@ -18,7 +18,7 @@ from wardlake.functions import paths, text as tx
 from wardlake.operators.matching import match_rules, match_start, rule_value
 from wardlake.rules import (DANGEROUS_SINKS, PATTERN_RULES, USER_INPUTS, WEAK_CRYPTO_WORDS, Rule)
 from wardlake.schemas import ADVANCED_FINDING, SCAN_KEY
-from wardlake.sources.files import api_source_files, explode_lines, with_rel_path
+from wardlake.sources.files import api_source_files, explode_lines
 
 PATTERN_CONFIDENCE = 0.8
 CONTEXT = 50

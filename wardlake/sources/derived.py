@@ -13,7 +13,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.schemas import SCAN_KEY
 from wardlake.sources.files import spread
 
 # {H} is the md5 of doc_id, {Hn} its first n characters, {U16} the first 16 in capitals,
