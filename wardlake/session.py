@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+SHARED = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # application -> folder, for sessions that name none
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   name: str = "wardlake") -> SparkSession:
@@ -18,16 +20,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
             .config("spark.driver.memory", "8g")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
+            .config(SHARED, f"/tmp/{name}-{uuid.uuid4().hex}")
             .getOrCreate())
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder for stream checkpoints and intermediate tables.
+def use_local_scratch(spark: SparkSession) -> None:
+    """For a session on one machine that names no shared folder: a folder in /tmp.
 
-    Below the shared folder the cluster names; a local temporary one only where none is
-    set (local runs and tests).
+    Does nothing for other sessions; there ``scratch_dir`` asks for the setting.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/wardlake-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    context = spark.sparkContext
+    if not spark.conf.get(SHARED, None) and context.master.split("[")[0] == "local":
+        _own.setdefault(context.applicationId, f"/tmp/wardlake-{uuid.uuid4().hex}")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for stream checkpoints and intermediate tables, below the shared folder."""
+    shared = spark.conf.get(SHARED, None) or _own.get(spark.sparkContext.applicationId)
+    if not shared:
+        raise ValueError(f"set {SHARED} to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/wardlake-{uuid.uuid4().hex}"
