@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import line_dedup, line_frequency
-from wardlake.session import use_local_scratch
+from wardlake.llm import line_dedup, line_frequency, packing, token_counts
+from wardlake.session import scratch_dir, use_local_scratch
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +29,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_repeat_words", "n_boilerplate", "base_failed", "kept")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own that is empty at first: every distinct text is encoded once."""
+    docs = documents(spark, sf_dir)
+    return token_counts.token_counts(docs, tokenizer_path(), f"{scratch_dir(spark)}/token_cache")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.line_dedup(documents(spark, sf_dir))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op8_line_dedup)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_quality_rules, op6_token_counts, op8_line_dedup, op9_best_fit_packing)}
