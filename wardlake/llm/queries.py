@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import line_dedup, line_frequency, packing, token_counts
+from wardlake.llm import line_dedup, line_frequency, packing, simhash, token_counts
 from wardlake.session import scratch_dir, use_local_scratch
 
 
@@ -35,6 +35,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path(), f"{scratch_dir(spark)}/token_cache")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(documents(spark, sf_dir))
+    return rows.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"),
+                       "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.line_dedup(documents(spark, sf_dir))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -45,4 +51,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_quality_rules, op6_token_counts, op8_line_dedup, op9_best_fit_packing)}
+    op3_quality_rules, op6_token_counts, op7_simhash, op8_line_dedup, op9_best_fit_packing)}
