@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import line_dedup, line_frequency, packing, simhash, token_counts
+from wardlake.llm import knn_quality, langid, line_dedup, line_frequency, packing, simhash, token_counts
 from wardlake.session import scratch_dir, use_local_scratch
 
 
@@ -23,6 +23,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learned = labels.where(~langid.held_out(F.col("doc_id")))
+    rows = knn_quality.predict(docs, knn_quality.train(docs, learned))
+    return rows.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score",
+                       F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_frequency.quality_rules(documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -50,5 +59,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    rows = langid.predict(docs, model)
+    return rows.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
+                       "lang_pred", "score", "bits_per_byte")
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_quality_rules, op6_token_counts, op7_simhash, op8_line_dedup, op9_best_fit_packing)}
+    op2_quality_knn, op3_quality_rules, op6_token_counts, op7_simhash, op8_line_dedup,
+    op9_best_fit_packing, op10_language_ppm)}
