@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import knn_quality, langid, line_dedup, line_frequency, packing, simhash, token_counts
+from wardlake.llm import knn_quality, langid, line_dedup, line_frequency, mixing, packing, simhash, token_counts
 from wardlake.session import scratch_dir, use_local_scratch
 
 
@@ -38,6 +38,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_repeat_words", "n_boilerplate", "base_failed", "kept")
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own that is empty at first: every distinct text is encoded once."""
     docs = documents(spark, sf_dir)
@@ -68,5 +72,5 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_knn, op3_quality_rules, op6_token_counts, op7_simhash, op8_line_dedup,
+    op2_quality_knn, op3_quality_rules, op5_source_mix, op6_token_counts, op7_simhash, op8_line_dedup,
     op9_best_fit_packing, op10_language_ppm)}
