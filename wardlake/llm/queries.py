@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import knn_quality, langid, line_dedup, line_frequency, mixing, packing, simhash, token_counts
+from wardlake.llm import (knn_quality, langid, line_dedup, line_frequency, mixing, packing,
+                          secret_owners, simhash, token_counts)
 from wardlake.session import scratch_dir, use_local_scratch
 
-
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -38,6 +38,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_repeat_words", "n_boilerplate", "base_failed", "kept")
 
 
+def op4_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_owners.secrets(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex",
+                       F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_vendor",
+                       "n_mixed", "n_copied")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
@@ -72,5 +79,5 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_knn, op3_quality_rules, op5_source_mix, op6_token_counts, op7_simhash, op8_line_dedup,
+    op2_quality_knn, op3_quality_rules, op4_secret_owners, op5_source_mix, op6_token_counts, op7_simhash, op8_line_dedup,
     op9_best_fit_packing, op10_language_ppm)}
