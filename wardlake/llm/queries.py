@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import (knn_quality, langid, line_dedup, line_frequency, mixing, packing,
-                          secret_owners, simhash, token_counts)
+from wardlake.llm import (fingerprints, knn_quality, langid, line_dedup, line_frequency, mixing,
+                          packing, secret_owners, simhash, token_counts)
 from wardlake.session import scratch_dir, use_local_scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sketch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(documents(spark, sf_dir))
+
+
 def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -79,5 +83,6 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_knn, op3_quality_rules, op4_secret_owners, op5_source_mix, op6_token_counts, op7_simhash, op8_line_dedup,
+    op1_sketch_fingerprints, op2_quality_knn, op3_quality_rules, op4_secret_owners,
+    op5_source_mix, op6_token_counts, op7_simhash, op8_line_dedup,
     op9_best_fit_packing, op10_language_ppm)}
