@@ -21,8 +21,10 @@ def stripped(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, n_lines, n_dropped`` per row of ``docs``; ``text`` is what stays.
+               id_col: str = "doc_id", text_col: str = "text",
+               with_rows: bool = False) -> DataFrame:
+    """``doc_id, text, n_lines, n_dropped`` per row of ``docs``; ``text`` is what stays, and with
+    ``with_rows`` the ``row`` as it was.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least
     ``min_chars`` code points in at least ``min_docs`` documents lose all their lines, except
@@ -46,11 +48,14 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
              .groupBy(F.col("doc_id").alias("d_id"), F.col("t1").alias("d1"),
                       F.col("t2").alias("d2"))
              .agg(F.sort_array(F.collect_set("pos")).alias("drop")))
-    met = base.withColumns({"t1": t1, "t2": t2}).join(
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if with_rows else []
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+    met = whole.withColumns({"t1": t1, "t2": t2}).join(
         drops, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("t1") == F.col("d1"))
         & (F.col("t2") == F.col("d2")), "left")
     lines = split_lines(F.col("text"))
     kept = (F.when(F.col("drop").isNull(), F.coalesce("text", F.lit("")))
             .otherwise(F.array_join(without_positions(lines, F.col("drop")), "\n")))
     return met.select("doc_id", kept.alias("text"), F.size(lines).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+                      F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+                      *(["row"] if with_rows else []))

@@ -93,9 +93,10 @@ def lines_above(docs: DataFrame, line_docs: int = LINE_DOCS,
 def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE,
                   left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE,
                   id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                  with_text: bool = False) -> DataFrame:
+                  with_rows: bool = False) -> DataFrame:
     """``doc_id, host``, base measures, ``base_failed, n_boilerplate`` (words in lines above the
-    limits), ``kept`` per row of ``docs``, and with ``with_text`` the ``text`` without those lines.
+    limits), ``kept`` per row of ``docs``, and with ``with_rows`` the ``text`` without those lines
+    and the ``row`` as it was.
 
     Null and empty texts have no words and fail. Documents without a host share one. Rows alike
     in id, host and text get the same result each. An empty table gives an empty result; other
@@ -103,8 +104,9 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     """
     d1, d2 = digest(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"),
-                       F.col(text_col).alias("text"), d1.alias("d1"), d2.alias("d2"))
-    carried = ("doc_id", "host", "d1", "d2") + (("text",) if with_text else ())
+                       F.col(text_col).alias("text"), d1.alias("d1"), d2.alias("d2"),
+                       F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    carried = ("doc_id", "host", "d1", "d2") + (("text", "row") if with_rows else ())
     gone = lines_above(base, line_docs, line_share).withColumnsRenamed(
         {"doc_id": "g_id", "host": "g_host", "d1": "g1", "d2": "g2"})
     met = base_measures(base, carried).join(
@@ -119,9 +121,9 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
            .withColumn("kept", ~F.col("base_failed") & ~depleted))
     columns = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                "n_repeat_words", "n_boilerplate", "base_failed", "kept"]
-    if not with_text:
+    if not with_rows:
         return out.select(*columns)
     rest = F.array_join(without_positions(
         split_lines(F.col("text")), F.transform("gone", lambda x: x["pos"])), "\n")
     return out.select(*columns, F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)
-                      .alias("text"))
+                      .alias("text"), "row")
