@@ -51,8 +51,14 @@ def without_positions(lines: Column, positions: Column) -> Column:
     """An array without the elements at ascending 0-based positions, in linear time: the runs
     between them, joined."""
     fences = F.concat(F.array(F.lit(-1)), positions, F.array(F.size(lines)))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(fences) - 1),
-        lambda i: F.slice(lines, F.get(fences, i - 1) + 2,
-                          F.get(fences, i) - F.get(fences, i - 1) - 1))
-    return F.flatten(runs)
+
+    def runs(of: Column) -> Column:
+        fence = of["fences"]
+        return F.flatten(F.transform(
+            F.sequence(F.lit(1), F.size(fence) - 1),
+            lambda i: F.slice(of["lines"], F.get(fence, i - 1) + 2,
+                              F.get(fence, i) - F.get(fence, i - 1) - 1)))
+
+    # A struct in an array of one: both are worked out once, not for each run.
+    return F.get(F.transform(F.array(F.struct(lines.alias("lines"), fences.alias("fences"))),
+                             runs), 0)

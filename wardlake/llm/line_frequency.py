@@ -106,12 +106,11 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"),
                        F.col(text_col).alias("text"), d1.alias("d1"), d2.alias("d2"),
                        F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    carried = ("doc_id", "host", "d1", "d2") + (("text", "row") if with_rows else ())
-    gone = lines_above(base, line_docs, line_share).withColumnsRenamed(
-        {"doc_id": "g_id", "host": "g_host", "d1": "g1", "d2": "g2"})
-    met = base_measures(base, carried).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & F.col("host").eqNullSafe(F.col("g_host"))
-        & (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")), "left")
+    key = ["doc_id", "host", "d1", "d2"]
+    gone = lines_above(base, line_docs, line_share).withColumnsRenamed({k: f"g_{k}" for k in key})
+    # Written, so that a filter on the result isn't worked out inside the arrays' lambdas.
+    measures = stored(base_measures(base.drop("row"), tuple(key)), "measures")
+    met = measures.join(gone, _same(key, "g_"), "left")
     removed = F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["w"])
     left = F.col("n_words") - F.col("n_boilerplate")
     depleted = (F.col("n_boilerplate") > 0) & (
@@ -123,7 +122,17 @@ def quality_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
                "n_repeat_words", "n_boilerplate", "base_failed", "kept"]
     if not with_rows:
         return out.select(*columns)
+    judged = out.dropDuplicates(key).select(
+        *(F.col(k).alias(f"j_{k}") for k in key), *columns[2:], "gone")
     rest = F.array_join(without_positions(
         split_lines(F.col("text")), F.transform("gone", lambda x: x["pos"])), "\n")
-    return out.select(*columns, F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)
-                      .alias("text"), "row")
+    return base.join(judged, _same(key, "j_")).select(
+        *columns, F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
+        "row")
+
+
+def _same(key: list[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return same
