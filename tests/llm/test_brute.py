@@ -33,7 +33,7 @@ def ids(docs):
 
 
 def test_fingerprints(spark, docs):
-    piece = re.compile(r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,15}")
+    piece = re.compile(r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,31}")
 
     def like(a, b):
         a, b = set(piece.findall(a)), set(piece.findall(b))
@@ -53,13 +53,13 @@ def test_fingerprints(spark, docs):
 
 
 def test_sketch_peels_to_the_difference(spark):
-    a, b = list(range(100)), list(range(6, 106))
+    a, b = list(range(100)), list(range(2, 102))
     row = spark.range(1).select(F.array(*map(F.lit, a)).cast("array<long>").alias("a"),
                                 F.array(*map(F.lit, b)).cast("array<long>").alias("b"))
     sketched = row.select("*", fingerprints.sketch(F.col("a")).alias("sa"),
                           fingerprints.sketch(F.col("b")).alias("sb"))
     small = fingerprints.peel(fingerprints.subtract(F.col("sa"), F.col("sb")), fingerprints.SMALL)
-    assert sorted(sketched.select(small).first()[0]) == [*range(6), *range(100, 106)]
+    assert sorted(sketched.select(small).first()[0]) == [0, 1, 100, 101]
     # Too much for a small sketch: null, and larger ones do it.
     far = sketched.withColumn("b", F.transform("b", lambda x: x + 1000)).withColumn(
         "sb", fingerprints.sketch(F.col("b")))

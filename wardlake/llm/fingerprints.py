@@ -4,8 +4,8 @@ A sketch has cells of (count, XOR of digests, XOR of their checks); each digest
 them. Subtracting the sketches of two versions cancels what both have. A cell that is left with
 one digest gives it away, taking it out uncovers others, and so the digests that differ are
 recovered without either text. The fingerprint of a document is its smallest sketch, enough for
-small edits. If that fails, the pair is tried again with larger sketches, dealt over tables of
-equal size by digest, so that work stays in proportion to the text.
+small edits. If that fails, the pair is tried again with a larger sketch, dealt over many small
+tables by digest; cells and rounds are per table, so that work stays near in proportion to text.
 
 All of it is expressions over arrays in a document's own row.
 """
@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from wardlake.llm.common import digest
 
 #: Words of a line that make a paragraph at most; cells of the fingerprint and of a larger
-#: sketch's tables; digests a table is meant for; tries with larger sketches.
-WORDS, SMALL, LARGE, LOAD, TRIES = 16, 24, 96, 40, 3
+#: sketch's tables, try by try; digests a table is meant for.
+WORDS, SMALL, LARGE, LOAD = 32, 12, (18, 36), 6
 #: Rounds of taking out at most: each empties a good part of a table that can be emptied.
-ROUNDS = 24
+ROUNDS = 12
 _PARAGRAPH = r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,%d}"
-_CELL = "struct<n:int,k:bigint,c:bigint>"
 
 
 def paragraphs(text: Column, most_words: int = WORDS) -> Column:
@@ -43,15 +42,17 @@ def _let(value: Column, use) -> Column:
 
 
 def _dealt(keys: Column, cells: int, level: int) -> Column:
-    """Digests with their check and their three cells, one in each third of the sketch."""
+    """Digests with their check and the bits of their cells, one in each third of the sketch."""
     third = cells // 3
 
+    def bit(h: Column, nth: int) -> Column:
+        slot = F.pmod(F.shiftright(h, 20 * nth), F.lit(third)).cast("int") + nth * third
+        return F.call_function("shiftleft", F.lit(1).cast("long"), slot)
+
     def deal(k: Column) -> Column:
         return _let(F.xxhash64(F.lit(level), k), lambda h: F.struct(
             k.alias("k"), F.xxhash64(k).alias("c"),
-            F.pmod(h, F.lit(third)).cast("int").alias("i0"),
-            (F.pmod(F.shiftright(h, 20), F.lit(third)) + third).cast("int").alias("i1"),
-            (F.pmod(F.shiftright(h, 40), F.lit(third)) + 2 * third).cast("int").alias("i2")))
+            bit(h, 0).bitwiseOR(bit(h, 1)).bitwiseOR(bit(h, 2)).alias("cells")))
 
     return F.transform(keys, deal)
 
@@ -59,8 +60,7 @@ def _dealt(keys: Column, cells: int, level: int) -> Column:
 def _put(cell: Column, at: Column, items: Column, sign) -> Column:
     """A cell with the items that go to it."""
     def add(a: Column, x: Column) -> Column:
-        here = (x["i0"] == at) | (x["i1"] == at) | (x["i2"] == at)
-        return F.when(here, F.struct(
+        return F.when(F.getbit(x["cells"], at) == 1, F.struct(
             (a["n"] + sign(x)).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"),
             a["c"].bitwiseXOR(x["c"]).alias("c"))).otherwise(a)
 
@@ -86,55 +86,77 @@ def peel(cells: Column, size: int, level: int = 0) -> Column:
     def lone(state: Column) -> Column:
         return F.filter(state, lambda x: (F.abs(x["n"]) == 1) & (F.xxhash64(x["k"]) == x["c"]))
 
-    def out(state: Column, _) -> Column:
-        def take(found: Column) -> Column:
-            signs = F.map_from_entries(F.transform(found, lambda x: F.struct(x["k"], x["n"])))
-            items = _dealt(F.map_keys(signs), size, level)
-            signed = F.transform(F.arrays_zip(items.alias("i"), F.map_values(signs).alias("n")),
-                                 lambda x: F.struct(x["i"]["k"], x["i"]["c"], x["i"]["i0"],
-                                                    x["i"]["i1"], x["i"]["i2"], x["n"]))
-            return F.struct(
-                _let(signed, lambda took: F.transform(state["cells"], lambda c, i: _put(
-                    c, i, took, lambda x: -x["n"]))).alias("cells"),
-                F.concat(state["keys"], F.map_keys(signs)).alias("keys"))
-
+    def take(state: Column, found: Column) -> Column:
+        signs = F.map_from_entries(F.transform(found, lambda x: F.struct(x["k"], x["n"])))
+        signed = F.zip_with(
+            _dealt(F.map_keys(signs), size, level), F.map_values(signs), lambda i, n: F.struct(
+                i["k"].alias("k"), i["c"].alias("c"), i["cells"].alias("cells"), n.alias("n")))
+        return F.struct(
+            _let(signed, lambda took: F.transform(state["cells"], lambda c, i: _put(
+                c, i, took, lambda x: -x["n"]))).alias("cells"),
+            F.concat(state["keys"], F.map_keys(signs)).alias("keys"), F.lit(True).alias("on"))
+
+    def stop(state: Column) -> Column:
+        return F.struct(state["cells"].alias("cells"), state["keys"].alias("keys"),
+                        F.lit(False).alias("on"))
+
+    def next_round(state: Column, _) -> Column:
         found = F.array_distinct(lone(state["cells"]))
-        return _let(found, lambda f: F.when(F.size(f) > 0, take(f)).otherwise(state))
+        return F.when(state["on"], _let(found, lambda f: F.when(F.size(f) > 0, take(state, f))
+                                        .otherwise(stop(state)))).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("keys"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, out)
+    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("keys"),
+                     F.lit(True).alias("on"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, next_round)
     return _let(end, lambda e: F.when(F.forall(e["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0)),
                                       e["keys"]))
 
 
-def _tables(keys: Column, tables: Column, which: Column) -> Column:
-    return F.filter(keys, lambda k: F.pmod(k, tables) == which)
+def _table(a: Column, b: Column) -> Column:
+    """What differs between two small sets of digests, by ever larger sketches."""
+    tries = [peel(subtract(sketch(a, cells, level), sketch(b, cells, level)), cells, level)
+             for level, cells in enumerate(LARGE, 1)]
+    return F.coalesce(*tries, F.concat(F.array_except(a, b), F.array_except(b, a)))
 
 
-def _larger(a: Column, b: Column, level: int) -> Column:
-    """The differing digests by sketches dealt over tables, null if any can't be emptied."""
-    tables = F.pow(F.lit(2), F.lit(level - 1) + F.ceil(F.log2(
-        F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / LOAD)))).cast("long")
+def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """Digests that one of two documents has, from their sketches.
 
-    def each(n: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda t: peel(
-            subtract(sketch(_tables(a, n, t), LARGE, level), sketch(_tables(b, n, t), LARGE, level)),
-            LARGE, level))
-        return _let(parts, lambda p: F.when(F.forall(p, lambda x: x.isNotNull()), F.flatten(p)))
+    The stored sketches first. If they can't be emptied, the digests are dealt over tables for a
+    few each, and a table is tried with a larger sketch by itself if need be; should that fail
+    at every size (about one table in ten thousand), its digests are compared.
+    """
+    tables = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / LOAD)).cast("int")
 
-    return _let(tables, each)
+    def each(x: Column) -> Column:
+        def mine(keys: str, ends: str, t: Column) -> Column:
+            begin = F.get(x[ends], t - 1)
+            return F.slice(x[keys], begin + 1, F.get(x[ends], t) - begin)
 
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(x["a_ends"]) - 1), lambda t: _let(
+            F.struct(mine("a", "a_ends", t).alias("a"), mine("b", "b_ends", t).alias("b")),
+            lambda pair: _table(pair["a"], pair["b"]))))
 
-def differing(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Digests that one of two documents has, from their sketches.
+    dealt = _let(tables, lambda n: F.struct(a.alias("a"), _ends(a, n).alias("a_ends"),
+                                            b.alias("b"), _ends(b, n).alias("b_ends")))
+    return F.coalesce(peel(subtract(sketch_a, sketch_b), SMALL), _let(dealt, each))
 
-    The stored sketches first, then ever larger ones; should all tries fail (each fails for a few
-    pairs in a hundred), the digests themselves are compared.
-    """
-    found = [peel(subtract(sketch_a, sketch_b), SMALL)]
-    found += [_larger(a, b, level) for level in range(1, TRIES + 1)]
-    exact = F.concat(F.array_except(a, b), F.array_except(b, a))
-    return F.coalesce(*found, exact)
+
+def _ends(keys: Column, tables: Column) -> Column:
+    """Where the runs of ascending digests end that go to each table: a binary search each."""
+    steps = F.transform(F.sequence(F.ceil(F.log2(F.size(keys) + F.lit(1.0))).cast("int"), F.lit(0)),
+                        lambda e: F.call_function("shiftleft", F.lit(1), e))
+
+    def end(x: Column, t: Column) -> Column:
+        # Digests as numbers from 0 to 2**63, so that bounds stay within a long.
+        bound = t.cast("long") * F.floor(F.lit(float(1 << 63)) / x["n"]).cast("long")
+        return F.aggregate(x["steps"], F.lit(0), lambda lo, s: F.when(
+            F.coalesce(F.shiftright(F.get(x["keys"], lo + s - 1), 1) + (1 << 62) < bound, F.lit(False)),
+            lo + s).otherwise(lo))
+
+    whole = F.struct(keys.alias("keys"), tables.alias("n"), steps.alias("steps"))
+    return _let(whole, lambda x: F.transform(F.sequence(F.lit(0), x["n"]), lambda t: F.when(
+        t == 0, F.lit(0)).when(t == x["n"], F.size(x["keys"])).otherwise(end(x, t))))
 
 
 def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
