@@ -149,8 +149,8 @@ def cte(name: str, sql: str, *deps: str) -> None:
 
 cte("files", f"SELECT *, {REL} AS rel_path FROM (SELECT {_cols(d.file_columns())} FROM documents)")
 cte("tree", f"SELECT *, {REL} AS rel_path FROM (SELECT {_cols({**d.KEY_COLUMNS, 'path': d.TREE_PATH, 'content': 'text'})} FROM documents)")
-cte("manifests", f"SELECT *, {REL} AS rel_path FROM (SELECT {_cols(d.MANIFEST_COLUMNS)} FROM documents WHERE doc_id % 4 = 0)")
-cte("requests", f"SELECT *, {_cols(d.POLICY_COLUMNS)} FROM (SELECT {_cols(d.REQUEST_COLUMNS)} FROM documents WHERE doc_id % 4 = 0)")
+cte("manifests", f"SELECT *, {REL} AS rel_path FROM (SELECT DISTINCT {_cols(d.MANIFEST_COLUMNS)} FROM documents)")
+cte("requests", f"SELECT *, {_cols(d.POLICY_COLUMNS)} FROM (SELECT DISTINCT {_cols(d.REQUEST_COLUMNS)} FROM documents)")
 cte("secret_rules", _values(SECRETS, "ordinal, type, re, severity, strict_severity, boost"))
 cte("code_rules", _values(CODE, "ordinal, type, re, severity, description"))
 cte("pattern_rules", _values(PATTERNS, "ordinal, type, re, severity, description, vulnerability_class"))

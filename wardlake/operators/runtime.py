@@ -215,32 +215,51 @@ def tick_summary(anomalies: DataFrame) -> DataFrame:
         .alias("anomalies"))
 
 
+def _counted(count: Column, tick: Column) -> Column:
+    """The counter after a tick: critical ticks leave it alone, the others add their anomalies,
+    and a full counter starts anew."""
+    added = count + tick["n_anomalies"].cast("int")
+    return F.when(tick["n_critical"] > 0, count).otherwise(
+        F.when(added >= ROLLBACK_AFTER, 0).otherwise(added))
+
+
 def rollback_decision(anomalies: DataFrame) -> DataFrame:
     """Whether a tick triggers a rollback.
 
-    Critical ticks always do and leave the counter alone. Other ticks have exactly one
-    anomaly (the port checks exclude each other), so every third of them does. The count
-    is a running one per host, taken in two levels: a host's days are one row each, and the
-    running count within a day is its own small window.
+    Critical ticks always do. Others do when the anomalies counted since the last time reach
+    ``ROLLBACK_AFTER``. The counter has few states, so what a day does to it is a small table
+    (from each state to the state after the day): days are folded side by side, then each
+    host's days, one small row each, in order, and then each day knows where it starts.
     """
+    states = range(ROLLBACK_AFTER)
     ticks = tick_summary(anomalies)
-    calm = F.col("n_critical") == 0
-    counted = F.when(calm, F.col("n_anomalies")).otherwise(0)
     # Ticks of one host and day: bounded by the tick interval.
     days = (ticks.groupBy("host", F.to_date("tick_ts").alias("day"))
-            .agg(F.sum(counted).alias("n_day"),
-                 F.collect_list(F.struct("tick_ts", "n_anomalies", "n_critical", "anomalies"))
-                 .alias("ticks")))
-    earlier = (Window.partitionBy("host").orderBy("day")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    in_day = (Window.partitionBy("host", "day").orderBy("tick_ts")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = (days.withColumn("before", F.coalesce(F.sum("n_day").over(earlier), F.lit(0)))
-            .select("host", "day", "before", F.inline("ticks"))
-            .withColumn("total", F.col("before") + F.sum(counted).over(in_day)))
-    rollback = ~calm | (F.col("total") % ROLLBACK_AFTER == 0)
-    return rows.select(*TICK, "n_anomalies", "n_critical", rollback.alias("rollback"),
-                       "anomalies")
+            .agg(F.sort_array(F.collect_list(F.struct("tick_ts", "n_anomalies", "n_critical",
+                                                      "anomalies"))).alias("ticks"))
+            .withColumn("after", F.array(*(F.aggregate("ticks", F.lit(c), _counted)
+                                           for c in states))))
+    hosts = days.groupBy("host").agg(
+        F.sort_array(F.collect_list(F.struct("day", "after"))).alias("days"))
+    start = F.struct(F.lit(0).alias("count"),
+                     F.array().cast("array<struct<day:date,start:int>>").alias("starts"))
+    walked = F.aggregate("days", start, lambda state, d: F.struct(
+        F.get(d["after"], state["count"]).alias("count"),
+        F.concat(state["starts"], F.array(F.struct(
+            d["day"].alias("day"), state["count"].alias("start")))).alias("starts")))
+    starts = hosts.select("host", F.inline(walked["starts"]))
+    told = F.aggregate(
+        "ticks", F.struct(F.col("start").alias("count"),
+                          F.array().cast("array<boolean>").alias("full")),
+        lambda state, t: F.struct(
+            _counted(state["count"], t).alias("count"),
+            F.concat(state["full"], F.array(
+                (t["n_critical"] > 0)
+                | (state["count"] + t["n_anomalies"] >= ROLLBACK_AFTER))).alias("full")))
+    rows = (days.join(starts, ["host", "day"]).withColumn("full", told["full"])
+            .select("host", F.inline(F.arrays_zip("ticks", F.col("full").alias("rollback")))))
+    return rows.select("host", "ticks.tick_ts", "ticks.n_anomalies", "ticks.n_critical",
+                       "rollback", "ticks.anomalies")
 
 
 def rollback_requests(decisions: DataFrame) -> DataFrame:
@@ -249,7 +268,9 @@ def rollback_requests(decisions: DataFrame) -> DataFrame:
 
 
 def _rfc3339() -> Column:
-    return F.date_format(F.col("tick_ts"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """UTC, whatever the session's zone."""
+    utc = F.to_utc_timestamp("tick_ts", F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def dispatch_payload() -> Column:

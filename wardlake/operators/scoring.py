@@ -1,12 +1,9 @@
 """Risk scores per scan.
 
 The score is a left-to-right sum of doubles in finding order, so it cannot be a plain
-``sum``. It is also capped, and that bounds the work per scan exactly: contributions are
-never negative, so once the running sum passes ``SATURATED`` the result is 100 whatever
-follows. Only the first ``ENOUGH`` contributions of at least ``SIZABLE`` in a family can
-matter (ENOUGH * SIZABLE > SATURATED); a rank filter keeps those, which Spark applies
-before the shuffle as well, so a repository with a third of all findings costs no more
-than ``ENOUGH`` rows per task. Contributions below ``SIZABLE`` are all kept.
+``sum``. It is also capped, and contributions are never negative: a scan whose plain sum, in
+whatever order, is past ``SATURATED`` scores 100. That sum is taken first, partly before the
+shuffle; only the other scans, which can't have many contributions, are folded in order.
 """
 
 from __future__ import annotations
@@ -29,8 +26,6 @@ MAX_SCORE = 100
 LEVELS = (("CRITICAL", 70), ("HIGH", 50), ("MEDIUM", 30))
 
 SATURATED = MAX_SCORE / LOW_CONFIDENCE_FACTOR + 1
-SIZABLE = 0.49
-ENOUGH = int(SATURATED / SIZABLE) + 5
 
 
 def _points(severity: Column, table: dict[str, float]) -> Column:
@@ -53,19 +48,18 @@ def contribution() -> Column:
 
 
 def score_base(findings: DataFrame) -> DataFrame:
-    """Ordered sum of contributions per scan, exact below saturation."""
+    """Ordered sum of contributions per scan; any sum past saturation for the rest."""
     points = (findings.select(*SCAN_KEY, "family", "f.pos", contribution().alias("points"))
               .where(F.col("points") > 0.0))
-    # Small contributions each get a rank group of their own, so that none is dropped.
-    group = F.when(F.col("points") < SIZABLE, F.xxhash64("family", "pos")).otherwise(F.lit(0))
-    ranked = Window.partitionBy(*SCAN_KEY, "family", "rank_group").orderBy("pos")
-    first = (points.withColumn("rank_group", group)
-             .withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= ENOUGH))
+    totals = points.groupBy(*SCAN_KEY).agg(F.sum("points").alias("total"))
+    unsaturated = points.join(totals.where(F.col("total") < SATURATED), SCAN_KEY, "left_semi")
     # A running sum adds row by row in order, and never falls: its maximum is the last one.
     in_order = (Window.partitionBy(*SCAN_KEY).orderBy("family", "pos")
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (first.withColumn("running", F.sum("points").over(in_order))
-            .groupBy(*SCAN_KEY).agg(F.max("running").alias("base")))
+    exact = (unsaturated.withColumn("running", F.sum("points").over(in_order))
+             .groupBy(*SCAN_KEY).agg(F.max("running").alias("base")))
+    return totals.join(exact, SCAN_KEY, "left").select(
+        *SCAN_KEY, F.coalesce("base", "total").alias("base"))
 
 
 def scan_stats(findings: DataFrame) -> DataFrame:

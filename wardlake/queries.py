@@ -125,7 +125,7 @@ define("secrets_gate", lambda s, p: secrets.secrets_gate(d.code_files(s, p)).sel
 define("secrets_strict", lambda s, p: secrets.secrets_strict(d.code_files(s, p)).select(
     *SECRET_OUT))
 
-USER_RULES = (Rule(0, "secret", "USER_TOKEN", r'token[\s]*=[\s]*"[0-9a-f]{40}"'),)
+USER_RULES = (Rule(0, "secret", "USER_TOKEN", r'token\s*=\s*"[0-9a-f]{40}"'),)
 
 
 @query

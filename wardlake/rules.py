@@ -5,8 +5,8 @@ table with :func:`rules_from_table`) and pass the longer list to any operator.
 
 Spelling of ``regex``: Java syntax, restricted so that RE2 gives the same matches.
 
-* ``\\s`` is only written inside a class and stands for the profile's whitespace
-  (``spell`` expands it), because engines disagree on what it contains.
+* ``\\s`` and ``\\S``, inside a class or not, stand for the profile's whitespace
+  (``spell`` expands them), because engines disagree on what it contains.
 * Under ``(?i)`` the letters s and k also match U+017F and U+212A, as Unicode simple
   folding does; Java folds ASCII only, so those letters are spelled as classes.
 * ``.`` must exclude only the newline; ``spell`` prefixes ``(?d)`` for that.
@@ -62,8 +62,29 @@ class Advisory:
 
 
 def spell(regex: str, unicode_space: bool = False) -> str:
-    """The pattern handed to Spark's regex functions."""
-    return "(?d)" + regex.replace(r"\s", UNICODE_SPACE if unicode_space else ASCII_SPACE)
+    """The pattern handed to Spark's regex functions: ``\\s`` and ``\\S`` spelled out.
+
+    Outside a class they become a class, inside one ``\\s`` becomes its members and ``\\S`` a
+    nested class (a union, as Java reads it).
+    """
+    space = UNICODE_SPACE if unicode_space else ASCII_SPACE
+    out, at, in_class = [], 0, 0
+    while at < len(regex):
+        pair = regex[at:at + 2]
+        if pair in (r"\s", r"\S"):
+            one = f"[{space}]" if pair == r"\s" else f"[^{space}]"
+            out.append(space if in_class and pair == r"\s" else one)
+        elif pair[0] == "\\":
+            out.append(pair)
+        else:
+            if pair[0] == "[":
+                in_class += 1
+            elif pair[0] == "]" and in_class:
+                in_class -= 1
+            out.append(pair[0])
+            at -= 1
+        at += 2
+    return "(?d)" + "".join(out)
 
 
 # ---------------------------------------------------------------------------

@@ -175,18 +175,17 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (table(spark, sf_dir, "documents").where("doc_id % 4 = 0")
-            .selectExpr(*_columns(MANIFEST_COLUMNS)))
+    """One manifest per repository, whichever of its documents are there."""
+    return table(spark, sf_dir, "documents").selectExpr(*_columns(MANIFEST_COLUMNS)).distinct()
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files and manifests of every repository: one row of ``documents`` gives its
-    file and, for the first document of a repository, the manifest; one read of the table."""
+    """Source files and manifests of every repository in one read of the table: each row of
+    ``documents`` gives its file and its repository's manifest, whose findings fold to one."""
     path, content = _source_file()
     manifest = F.struct(F.expr(MANIFEST_COLUMNS["path"]).alias("path"),
                         F.expr(MANIFEST_COLUMNS["content"]).alias("content"))
-    rows = F.array_compact(F.array(F.struct(path.alias("path"), content.alias("content")),
-                                   F.when(F.expr("doc_id % 4 = 0"), manifest)))
+    rows = F.array(F.struct(path.alias("path"), content.alias("content")), manifest)
     return documents(spark, sf_dir).select(*_expressions(KEY_COLUMNS), F.inline(rows))
 
 
@@ -207,9 +206,8 @@ POLICY_COLUMNS = {
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scan request per repository (the document that starts a repository gives it)."""
-    base = (table(spark, sf_dir, "documents").where("doc_id % 4 = 0")
-            .selectExpr(*_columns(REQUEST_COLUMNS)))
+    """One scan request per repository."""
+    base = table(spark, sf_dir, "documents").selectExpr(*_columns(REQUEST_COLUMNS)).distinct()
     passed = F.lit("passed")
     status = {"secrets": passed, "cve": F.col("cve_status"), "code_analysis": passed}
     scanners = F.map_from_arrays(
