@@ -74,8 +74,8 @@ add("code_context", "SELECT file, line, finding_type, code_context FROM advanced
 add("analyze_dispatch", f"SELECT path, {BARE_EXT.format('path')} AS language, {DOT_EXT.format('path')} IN ('.rs','.go','.py','.js','.ts','.java','.cpp','.c','.h') AS analyzed, "
     f"{BARE_EXT.format('path')} IN ('rs','js','ts','py','go') AS lexed FROM files", "files")
 add("advanced_findings", "SELECT * FROM advanced", "advanced")
-add("advanced_result", """SELECT repo_path, 0 AS part, count(*) AS total_findings, 'advanced_ast_based' AS scan_type,
-  string_agg(e, ' ' ORDER BY e) AS listing FROM (SELECT repo_path, concat_ws(':', finding_type, file, line, "column") AS e FROM advanced) GROUP BY repo_path""", "advanced")
+add("advanced_result", """SELECT repo_path, file, sum(count(*)) OVER (PARTITION BY repo_path)::BIGINT AS total_findings, 'advanced_ast_based' AS scan_type,
+  string_agg(e, ' ' ORDER BY e) AS listing FROM (SELECT repo_path, file, concat_ws(':', finding_type, file, line, "column") AS e FROM advanced) GROUP BY repo_path, file""", "advanced")
 add("scan_metrics", rf"""SELECT repo_path, count(*) AS files_processed, sum(len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS total_lines
   FROM files WHERE {BARE_EXT.format('rel_path')} IN ('rs','js','ts','py','go','java') AND NOT list_has_any({DIRS}, ['.git','node_modules','target','__pycache__','.cargo']) GROUP BY repo_path""", "files")
 add("language_stats", f"SELECT repo_path, {BARE_EXT.format('path')} AS language, count(*)::INTEGER AS n_files FROM files GROUP BY ALL", "files")
@@ -96,15 +96,16 @@ SUMMARY = ("'Scan completed: ' || n_secrets || ' secrets, ' || n_cves || ' CVEs,
            "' (' || risk_score || '/100). Deployment ' || CASE WHEN passed THEN 'APPROVED' ELSE 'BLOCKED' END || '.'")
 add("scan_summary", f"SELECT repo_path, {SUMMARY} AS summary FROM verdicts", "verdicts")
 add("scan_result", f"""
-SELECT v.repo_path, v.branch, v.commit_hash, 0 AS part, v.risk_score, v.risk_level, v.passed,
-  coalesce((SELECT string_agg(concat_ws(':', rel_path, line, type, severity, masked), ' ' ORDER BY string_split(rel_path, '/'), line, ordinal) FROM secrets_gate x WHERE x.repo_path = v.repo_path), '') AS secrets,
-  coalesce((SELECT string_agg(concat_ws(':', cve, package, severity), ' ' ORDER BY ordinal) FROM cves x WHERE x.repo_path = v.repo_path), '') AS cves,
-  coalesce((SELECT string_agg(concat_ws(':', rel_path, line, type, severity), ' ' ORDER BY string_split(rel_path, '/'), line, ordinal) FROM issues x WHERE x.repo_path = v.repo_path), '') AS code_issues,
-  p.violations,
-  concat_ws(' | ', nullif(p.warnings, ''), (SELECT string_agg(warning, ' | ' ORDER BY pos) FROM anomalies x WHERE x.repo_path = v.repo_path)) AS warnings,
+SELECT v.repo_path, v.branch, v.commit_hash, nullif(p.file, '') AS file, v.risk_score, v.risk_level, v.passed,
+  coalesce(s.e, '') AS secrets, coalesce(c.e, '') AS cves, coalesce(i.e, '') AS code_issues, p.violations,
+  concat_ws(' | ', nullif(p.warnings, ''), CASE WHEN p.file = '' THEN a.e END) AS warnings,
   {SUMMARY.replace('passed', 'v.passed')} AS summary
-FROM verdicts v JOIN policy p USING (repo_path)""", "verdicts", "policy", "secrets_gate", "cves", "issues", "anomalies")
-add("scan_results_json", "SELECT repo_path, risk_score, passed, n_secrets::INTEGER AS n_secrets, n_cves::INTEGER AS n_cves, n_code_issues::INTEGER AS n_code_issues FROM verdicts", "verdicts")
+FROM verdicts v JOIN said p USING (repo_path)
+LEFT JOIN (SELECT repo_path, rel_path AS file, string_agg(concat_ws(':', rel_path, line, type, severity, masked), ' ' ORDER BY line, ordinal) AS e FROM secrets_gate GROUP BY ALL) s ON s.repo_path = p.repo_path AND s.file = p.file
+LEFT JOIN (SELECT repo_path, manifest AS file, string_agg(concat_ws(':', cve, package, severity), ' ' ORDER BY ordinal) AS e FROM cves GROUP BY ALL) c ON c.repo_path = p.repo_path AND c.file = p.file
+LEFT JOIN (SELECT repo_path, rel_path AS file, string_agg(concat_ws(':', rel_path, line, type, severity), ' ' ORDER BY line, ordinal) AS e FROM issues GROUP BY ALL) i ON i.repo_path = p.repo_path AND i.file = p.file
+LEFT JOIN (SELECT repo_path, string_agg(warning, ' | ' ORDER BY pos) AS e FROM anomalies GROUP BY ALL) a ON a.repo_path = p.repo_path""", "verdicts", "said", "secrets_gate", "cves", "issues", "anomalies")
+add("scan_results_json", "SELECT repo_path, risk_score, passed, n_secrets::BIGINT AS n_secrets, n_cves::BIGINT AS n_cves, n_code_issues::BIGINT AS n_code_issues FROM verdicts", "verdicts")
 add("deploy_env", "SELECT repo_path, CASE WHEN contains(branch, 'main') OR contains(branch, 'master') THEN 'prod' WHEN contains(branch, 'staging') THEN 'staging' ELSE 'dev' END AS env FROM requests", "requests")
 add("env_threshold", "SELECT repo_path, env, threshold FROM verdicts", "verdicts")
 add("policy_risk", f"SELECT repo_path, {RISK_MSG} AS message FROM verdicts WHERE risk_score >= threshold", "verdicts")
@@ -121,7 +122,7 @@ add("rego_deny_hours", "SELECT repo_path, 'Production deployments outside busine
 add("rego_max_risk", "SELECT repo_path, environment, CASE environment WHEN 'production' THEN 50 WHEN 'staging' THEN 70 WHEN 'development' THEN 100 END AS max_risk FROM requests", "requests")
 ORACLES["env_threshold_join"] = ORACLES["rego_max_risk"]
 add("rego_required_scanners", "SELECT repo_path, message FROM denials WHERE n = 4", "denials")
-add("policy_merge", """SELECT p.repo_path, part, passed AND m IS NULL AS passed, concat_ws(' | ', nullif(violations, ''), m) AS violations, warnings
+add("policy_merge", """SELECT p.repo_path, file, passed AND m IS NULL AS passed, concat_ws(' | ', nullif(violations, ''), CASE WHEN file IS NULL THEN m END) AS violations, warnings
   FROM policy p LEFT JOIN (SELECT repo_path, string_agg(message, ' | ' ORDER BY n) AS m FROM denials GROUP BY repo_path) USING (repo_path)""", "policy", "denials")
 
 add("listening_ports", f"SELECT host, {TICK}, port, seq AS first_seq FROM ports", "ports")

@@ -217,17 +217,23 @@ RISK_MSG = "'Risk score ' || risk_score || ' exceeds ' || env || ' threshold of
 SECRET_MSG = "'Critical secret detected: ' || type || ' in ' || rel_path || ':' || line"
 CVE_TAIL = "cve || ' (CVSS ' || printf('%.1f', cvss) || ') in ' || package"
 cte("violations", f"""
-SELECT repo_path, 1 AS rule, [''] AS p, 0 AS line, 0 AS ordinal, {RISK_MSG} AS message FROM verdicts WHERE risk_score >= threshold
-UNION ALL SELECT repo_path, 2, string_split(rel_path, '/'), line, ordinal, {SECRET_MSG} FROM secrets_gate WHERE severity = 'CRITICAL'
-UNION ALL SELECT repo_path, 3, [''], 0, ordinal, 'Critical CVE detected: ' || {CVE_TAIL} FROM cves WHERE cvss >= 9""",
+SELECT repo_path, '' AS file, 1 AS rule, [''] AS p, 0 AS line, 0 AS ordinal, {RISK_MSG} AS message FROM verdicts WHERE risk_score >= threshold
+UNION ALL SELECT repo_path, rel_path, 2, string_split(rel_path, '/'), line, ordinal, {SECRET_MSG} FROM secrets_gate WHERE severity = 'CRITICAL'
+UNION ALL SELECT repo_path, manifest, 3, [''], 0, ordinal, 'Critical CVE detected: ' || {CVE_TAIL} FROM cves WHERE cvss >= 9""",
     "verdicts", "secrets_gate", "cves")
 cte("warnings", f"""
-SELECT repo_path, 3 AS rule, ordinal, 'High severity CVE: ' || {CVE_TAIL} AS message FROM cves WHERE cvss >= 7 AND cvss < 9
-UNION ALL SELECT repo_path, 4, 0, n_critical_code || ' critical code patterns detected' FROM verdicts WHERE n_critical_code >= 3""", "cves", "verdicts")
-cte("policy", """SELECT v.repo_path, 0 AS part, v.passed,
-  coalesce((SELECT string_agg(message, ' | ' ORDER BY rule, p, line, ordinal) FROM violations x WHERE x.repo_path = v.repo_path), '') AS violations,
-  coalesce((SELECT string_agg(message, ' | ' ORDER BY rule, ordinal) FROM warnings x WHERE x.repo_path = v.repo_path), '') AS warnings
-FROM verdicts v""", "verdicts", "violations", "warnings")
+SELECT repo_path, manifest AS file, 3 AS rule, ordinal, 'High severity CVE: ' || {CVE_TAIL} AS message FROM cves WHERE cvss >= 7 AND cvss < 9
+UNION ALL SELECT repo_path, '', 4, 0, n_critical_code || ' critical code patterns detected' FROM verdicts WHERE n_critical_code >= 3""", "cves", "verdicts")
+cte("docs", """SELECT v.repo_path, '' AS file FROM verdicts v
+UNION SELECT repo_path, rel_path FROM secrets_gate UNION SELECT repo_path, manifest FROM cves
+UNION SELECT repo_path, rel_path FROM issues""", "verdicts", "secrets_gate", "cves", "issues")
+cte("said", """SELECT repo_path, file, passed, coalesce(v, '') AS violations, coalesce(w, '') AS warnings
+FROM docs JOIN verdicts USING (repo_path)
+LEFT JOIN (SELECT repo_path, file, string_agg(message, ' | ' ORDER BY rule, p, line, ordinal) AS v FROM violations GROUP BY ALL) USING (repo_path, file)
+LEFT JOIN (SELECT repo_path, file, string_agg(message, ' | ' ORDER BY rule, ordinal) AS w FROM warnings GROUP BY ALL) USING (repo_path, file)""",
+    "docs", "verdicts", "violations", "warnings")
+cte("policy", """SELECT repo_path, nullif(file, '') AS file, passed, violations, warnings FROM said
+WHERE file = '' OR violations <> '' OR warnings <> ''""", "said")
 cte("denials", """
 SELECT repo_path, 1 AS n, 'eval() usage is forbidden in production code' AS message FROM scored WHERE n_eval > 0
 UNION ALL SELECT repo_path, 2, 'Shell injection vulnerability detected - deployment blocked' FROM scored WHERE n_shell > 0

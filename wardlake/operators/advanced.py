@@ -272,15 +272,15 @@ def advanced_findings(files: DataFrame, rules: Sequence[Rule] = PATTERN_RULES) -
         vulnerability=rule_value(reports, "vulnerability_class"))
 
 
-def advanced_result(findings: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Envelope per repository: findings, their number, scan type (in parts)."""
-    from wardlake.operators.report import with_part
-    fields = ADVANCED_FINDING.names
-    parted = with_part(findings, SCAN_KEY, [*SCAN_KEY, *fields], part_rows)
-    return (parted.groupBy(*SCAN_KEY, "part")
-            .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("findings"),
-                 F.count("*").alias("total_findings"))
-            .withColumn("scan_type", F.lit("advanced_ast_based")))
+def advanced_result(findings: DataFrame) -> DataFrame:
+    """Envelope per repository and file: its findings, the scan's total, scan type.
+
+    ``findings`` is read twice: pass a written table.
+    """
+    totals = findings.groupBy(*SCAN_KEY).agg(F.count("*").alias("total_findings"))
+    files = findings.groupBy(*SCAN_KEY, "file").agg(
+        F.sort_array(F.collect_list(F.struct(*ADVANCED_FINDING.names))).alias("findings"))
+    return files.join(totals, SCAN_KEY).withColumn("scan_type", F.lit("advanced_ast_based"))
 
 
 def line_count(content: Column) -> Column:

@@ -92,25 +92,3 @@ def cve_messages(findings: DataFrame) -> DataFrame:
 def code_messages(verdicts: DataFrame) -> DataFrame:
     return (verdicts.select(*SCAN_KEY, code_message().alias("message"))
             .where(F.col("message").isNotNull()))
-
-
-def policy_messages(verdicts: DataFrame, findings: DataFrame,
-                    with_anomalies: bool = False) -> DataFrame:
-    """All messages as rows: kind, rule (the order of the checks), pos within the rule."""
-    no_pos = F.lit(None).cast(findings.schema["f"].dataType["pos"].dataType).alias("pos")
-
-    def rows(messages: DataFrame, kind, rule: int, pos) -> DataFrame:
-        return messages.select(*SCAN_KEY, kind.alias("kind"), F.lit(rule).alias("rule"), pos,
-                               "message")
-
-    out = rows(risk_messages(verdicts), F.lit(VIOLATION), 1, no_pos)
-    out = out.unionByName(rows(secret_messages(findings), F.lit(VIOLATION), 2, F.col("pos")))
-    out = out.unionByName(rows(cve_messages(findings), F.col("kind"), 3, F.col("pos")))
-    out = out.unionByName(rows(code_messages(verdicts), F.lit(WARNING), 4, no_pos))
-    if with_anomalies:
-        warned = anomalies.scan_anomalies(verdicts)
-        for i in range(3):
-            out = out.unionByName(rows(
-                warned.where(F.col("pos") == i).withColumnRenamed("warning", "message"),
-                F.lit(WARNING), 5 + i, no_pos))
-    return out

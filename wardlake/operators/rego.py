@@ -71,11 +71,11 @@ def denials(business_hours: Column | None = None) -> Column:
 
 
 def policy_merge(policy: DataFrame, denied: DataFrame) -> DataFrame:
-    """Adds denials (scan key, ``denials``) to policy results; part 0 carries them."""
+    """Adds denials (scan key, ``denials``) to policy results; the scan's own row has them."""
     joined = policy.join(denied.select(*SCAN_KEY, "denials"), SCAN_KEY, "left")
     none = F.array().cast("array<string>")
     denied_list = F.coalesce("denials", none)
-    added = F.when(F.col("part") == 0, denied_list).otherwise(none)
+    added = F.when(F.col("file").isNull(), denied_list).otherwise(none)
     return joined.select(
-        *SCAN_KEY, "part", (F.col("passed") & (F.size(denied_list) == 0)).alias("passed"),
+        *SCAN_KEY, "file", (F.col("passed") & (F.size(denied_list) == 0)).alias("passed"),
         F.concat("violations", added).alias("violations"), "warnings")

@@ -1,14 +1,12 @@
 """Result documents: nested rows, summaries, reports.
 
-A document holds arrays, and one repository may own a third of all findings, so arrays
-are built in parts: a scan with up to ``part_rows`` entries is one row (part 0), a larger
-one is spread over several rows of about that size. The parts together are the whole.
+A document holds arrays, and one repository may own a third of all findings, so there is a
+document for each file of a scan, which is bounded as the file is, and one without a file that
+carries what is said about the scan as a whole. Every scan has that shape, whatever its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +15,6 @@ from wardlake.operators.findings import (CODE_FAMILY, CVE_FAMILY, SECRET_FAMILY)
 from wardlake.operators.scoring import scored_scans
 from wardlake.schemas import CODE_ISSUE, CVE, SCAN_KEY, SCAN_RESULT, SECRET
 
-PART_ROWS = 10_000
-VIOLATION_SLOT, WARNING_SLOT = 3, 4
-
-
-def with_part(rows: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
-              part_rows: int = PART_ROWS) -> DataFrame:
-    """Adds ``part``: 0 for keys of up to ``part_rows`` rows, else an even spread.
-
-    Only keys above the limit are joined back; their number is at most rows / part_rows,
-    and the join strategy is left to the runtime sizes.
-    """
-    large = (rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows)
-             .withColumn("_parts", F.ceil(F.col("_n") / part_rows)).drop("_n"))
-    spread = F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int")
-    return (rows.join(large, list(keys), "left")
-            .withColumn("part", F.coalesce(spread, F.lit(0))).drop("_parts"))
-
-
 def summary() -> Column:
     verdict = F.when(F.col("passed"), "APPROVED").otherwise("BLOCKED")
     return F.format_string(
@@ -67,117 +47,90 @@ def _texts(*messages: Column) -> Column:
     return F.array_compact(F.array(*messages))
 
 
-def scan_result(requests: DataFrame, findings: DataFrame, part_rows: int = PART_ROWS,
-                with_anomalies: bool = True, **policy_options) -> DataFrame:
-    """The nested scan result (see ``SCAN_RESULT``) plus ``part``.
+def _empty(name: str) -> Column:
+    return F.array().cast(SCAN_RESULT[name].dataType)
+
 
-    ``findings`` is read by three branches (statistics, score, arrays), none of which
-    filters or narrows it before its last shuffle, so that shuffle is computed once and
-    reused. Messages about findings are made from the collected arrays for the same reason.
+def _messages(whole_scan: Column, with_anomalies: bool) -> tuple[Column, Column]:
+    """Violations and warnings of one document, in the order of the checks.
+
+    From its own arrays, and for the scan's own document from the counts and the verdict.
     """
-    report = scan_report(requests, findings, **policy_options)
-    total = F.col("n_secrets") + F.col("n_cves") + F.col("n_code_issues")
-    parts = report.select(*SCAN_KEY, F.ceil(total / part_rows).alias("_parts"))
-    spread = F.pmod(F.xxhash64("family", "f.pos"), F.greatest("_parts", F.lit(1))).cast("int")
-    parted = (findings.join(parts, SCAN_KEY)
-              .select(*SCAN_KEY, spread.alias("part"), F.col("family").alias("slot"),
-                      F.lit(0).alias("rule"), F.col("f.pos").alias("pos"), "f"))
-    arrays = parted.groupBy(*SCAN_KEY, "part").agg(
-        _collect(SECRET_FAMILY, _fields(SECRET)).alias("secrets"),
-        _collect(CVE_FAMILY, _fields(CVE, cve="type")).alias("cves"),
-        _collect(CODE_FAMILY, _fields(CODE_ISSUE)).alias("code_issues"))
-    joined = report.join(arrays, SCAN_KEY, "left")
-
-    def or_empty(name: str, kind) -> Column:
-        return F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
-
-    kinds = {f.name: f.dataType for f in SCAN_RESULT}
-    whole = joined.select(
-        "*", *(or_empty(n, kinds[n]).alias(f"_{n}") for n in ("secrets", "cves", "code_issues")),
-        F.coalesce("part", F.lit(0)).alias("_part"))
-    # Messages about the scan as a whole go to part 0, messages about a finding to its part.
-    whole_scan = F.col("_part") == 0
-    critical_secrets = F.filter("_secrets", lambda s: s["severity"] == "CRITICAL")
+    critical_secrets = F.filter("secrets", lambda s: s["severity"] == "CRITICAL")
     violations = F.concat(
         _texts(F.when(whole_scan, policy.risk_message())),
         F.transform(critical_secrets, lambda s: policy.secret_message(
             s["type"], s["file"], s["line"])),
-        F.transform(F.filter("_cves", lambda c: c["cvss"] >= policy.CRITICAL_CVSS),
+        F.transform(F.filter("cves", lambda c: c["cvss"] >= policy.CRITICAL_CVSS),
                     policy.cve_message))
     warnings = F.concat(
-        F.transform(F.filter("_cves", lambda c: (c["cvss"] >= policy.HIGH_CVSS)
+        F.transform(F.filter("cves", lambda c: (c["cvss"] >= policy.HIGH_CVSS)
                              & (c["cvss"] < policy.CRITICAL_CVSS)), policy.cve_message),
         _texts(F.when(whole_scan, policy.code_message())),
-        F.when(whole_scan & F.lit(with_anomalies), anomalies.anomaly_warnings())
-        .otherwise(F.array().cast("array<string>")))
-    return whole.select(
-        F.col("scan_ts").alias("timestamp"), *SCAN_KEY, F.col("_part").alias("part"),
-        "risk_score", "risk_level", "passed", F.col("_secrets").alias("secrets"),
-        F.col("_cves").alias("cves"), F.col("_code_issues").alias("code_issues"),
+        F.when(whole_scan, anomalies.anomaly_warnings())
+        .otherwise(F.array().cast("array<string>")) if with_anomalies
+        else F.array().cast("array<string>"))
+    return violations, warnings
+
+
+def scan_result(requests: DataFrame, findings: DataFrame, with_anomalies: bool = True,
+                **policy_options) -> DataFrame:
+    """Nested results (see ``SCAN_RESULT``): per scan a row without a file and one per file.
+
+    ``findings`` is read by three branches (statistics, score, arrays): pass a written table.
+    """
+    report = scan_report(requests, findings, **policy_options)
+    arrays = (findings.select(*SCAN_KEY, F.col("f.file").alias("file"),
+                              F.col("family").alias("slot"), F.lit(0).alias("rule"),
+                              F.col("f.pos").alias("pos"), "f")
+              .groupBy(*SCAN_KEY, "file").agg(
+                  _collect(SECRET_FAMILY, _fields(SECRET)).alias("secrets"),
+                  _collect(CVE_FAMILY, _fields(CVE, cve="type")).alias("cves"),
+                  _collect(CODE_FAMILY, _fields(CODE_ISSUE)).alias("code_issues")))
+    arrays = arrays.select(*SCAN_KEY, "file", *(
+        F.col(n).cast(SCAN_RESULT[n].dataType).alias(n) for n in ("secrets", "cves", "code_issues")))
+    scans = requests.select(*SCAN_KEY, F.lit(None).cast("string").alias("file"), *(
+        _empty(n).alias(n) for n in ("secrets", "cves", "code_issues")))
+    violations, warnings = _messages(F.col("file").isNull(), with_anomalies)
+    return report.join(arrays.unionByName(scans), SCAN_KEY).select(
+        F.col("scan_ts").alias("timestamp"), *SCAN_KEY, "file", "risk_score", "risk_level",
+        "passed", "secrets", "cves", "code_issues",
         F.struct("passed", violations.alias("violations"), warnings.alias("warnings"))
         .alias("policy_result"), "summary")
 
 
-def policy_result(requests: DataFrame, findings: DataFrame, part_rows: int = PART_ROWS,
-                  **policy_options) -> DataFrame:
-    """passed + ordered violations and warnings per scan (in parts), one read of findings."""
-    result = scan_result(requests, findings, part_rows, with_anomalies=False, **policy_options)
-    return result.select(*SCAN_KEY, "part", "policy_result.*")
-
-
-def collect_messages(verdicts: DataFrame, messages: DataFrame,
-                     part_rows: int = PART_ROWS) -> DataFrame:
-    """Message rows gathered to the same layout."""
-    parted = with_part(messages, SCAN_KEY, [*SCAN_KEY, "rule", "pos", "message"], part_rows)
-    slotted = parted.withColumn(
-        "slot", F.when(F.col("kind") == policy.VIOLATION, VIOLATION_SLOT).otherwise(WARNING_SLOT))
-    arrays = slotted.groupBy(*SCAN_KEY, "part").agg(
-        _collect(VIOLATION_SLOT, F.col("message")).alias("violations"),
-        _collect(WARNING_SLOT, F.col("message")).alias("warnings"))
-    empty = F.array().cast("array<string>")
-    return verdicts.select(*SCAN_KEY, "passed").join(arrays, SCAN_KEY, "left").select(
-        *SCAN_KEY, F.coalesce("part", F.lit(0)).alias("part"), "passed",
-        F.coalesce("violations", empty).alias("violations"),
-        F.coalesce("warnings", empty).alias("warnings"))
-
-
-def stored_findings(results: DataFrame) -> DataFrame:
-    """The findings inside stored scan results, in the layout the policy reads."""
-    def items(name: str, family: int, **renamed: str) -> DataFrame:
-        fields = {n: F.lit(None).cast(k).alias(n) for n, k in (
-            ("file", "string"), ("line", "int"), ("type", "string"), ("severity", "string"),
-            ("package", "string"), ("cvss", "double"), ("confidence", "double"))}
-        rows = results.select(*SCAN_KEY, F.posexplode(name).alias("at", "e"))
-        for source in results.schema[name].dataType.elementType.names:
-            if renamed.get(source, source) in fields:
-                target = renamed.get(source, source)
-                fields[target] = F.col(f"e.{source}").alias(target)
-        return rows.select(*SCAN_KEY, F.lit(family).alias("family"), F.struct(
-            F.struct(F.col("at").alias("rank")).alias("pos"), *fields.values()).alias("f"))
-
-    return (items("secrets", SECRET_FAMILY)
-            .unionByName(items("cves", CVE_FAMILY, cve="type"))
-            .unionByName(items("code_issues", CODE_FAMILY)))
-
-
-def validate_policy(results: DataFrame, part_rows: int = PART_ROWS, **options) -> DataFrame:
+def _with_messages_only(results: DataFrame) -> DataFrame:
+    """Verdicts and messages; files without any are left out."""
+    said = F.size("violations") + F.size("warnings") > 0
+    return results.where(F.col("file").isNull() | said)
+
+
+def policy_result(requests: DataFrame, findings: DataFrame, **policy_options) -> DataFrame:
+    """passed + ordered violations and warnings, of the scan and of each file with some."""
+    result = scan_result(requests, findings, with_anomalies=False, **policy_options)
+    return _with_messages_only(result.select(*SCAN_KEY, "file", "policy_result.*"))
+
+
+def validate_policy(results: DataFrame, **options) -> DataFrame:
     """Policy over stored results: their score is taken as given, nothing is rescanned."""
-    found = stored_findings(results)
-    scans = results.select(*SCAN_KEY, "risk_score").dropDuplicates(SCAN_KEY)
-    critical = F.col("f.severity") == "CRITICAL"
-    counts = found.groupBy(*SCAN_KEY).agg(
-        F.count_if((F.col("family") == SECRET_FAMILY) & critical).alias("n_critical_secrets"),
-        F.count_if((F.col("family") == CVE_FAMILY) & (F.col("f.cvss") >= 9.0))
-        .alias("n_critical_cves"),
-        F.count_if((F.col("family") == CODE_FAMILY) & critical).alias("n_critical_code"))
-    scored = scans.join(counts, SCAN_KEY, "left").fillna(
-        0, subset=["n_critical_secrets", "n_critical_cves", "n_critical_code"])
-    verdicts = policy.with_verdict(scored, **options)
-    return collect_messages(verdicts, policy.policy_messages(verdicts, found), part_rows)
+    def critical(name: str, condition) -> Column:
+        return F.sum(F.size(F.filter(name, condition))).alias(f"n_critical_{name}")
+
+    counts = results.groupBy(*SCAN_KEY).agg(
+        F.max("risk_score").alias("risk_score"),
+        critical("secrets", lambda x: x["severity"] == "CRITICAL"),
+        critical("cves", lambda x: x["cvss"] >= policy.CRITICAL_CVSS),
+        critical("code_issues", lambda x: x["severity"] == "CRITICAL")
+        .alias("n_critical_code"))
+    verdicts = policy.with_verdict(counts, **options)
+    violations, warnings = _messages(F.col("file").isNull(), with_anomalies=False)
+    judged = results.select(*SCAN_KEY, "file", "secrets", "cves").join(verdicts, SCAN_KEY)
+    return _with_messages_only(judged.select(
+        *SCAN_KEY, "file", "passed", violations.alias("violations"), warnings.alias("warnings")))
 
 
 def markdown_report(results: DataFrame) -> DataFrame:
-    """Text per scan (and part): summary, then one bullet per finding and message."""
+    """Text per scan and file: summary, then one bullet per finding and message."""
     def bullets(title: str, items: Column) -> Column:
         return F.when(F.size(items) > 0, F.concat(
             F.lit(f"\n\n## {title}\n"), F.array_join(items, "\n"))).otherwise("")
@@ -196,4 +149,4 @@ def markdown_report(results: DataFrame) -> DataFrame:
         F.lit("# Security scan: "), F.col("repo_path"), F.lit("\n\n"), F.col("summary"),
         bullets("Secrets", secrets), bullets("CVEs", cves), bullets("Code issues", issues),
         bullets("Violations", plain("violations")), bullets("Warnings", plain("warnings")))
-    return results.select(*SCAN_KEY, "part", text.alias("markdown"))
+    return results.select(*SCAN_KEY, "file", text.alias("markdown"))

@@ -24,10 +24,10 @@ def stored_table(rows: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def scan(requests: DataFrame, files: DataFrame, part_rows: int = report.PART_ROWS,
+def scan(requests: DataFrame, files: DataFrame,
          findings_path: str | None = None, **policy_options) -> DataFrame:
     findings = stored_table(scan_findings(files), findings_path)
-    return report.scan_result(requests, findings, part_rows, **policy_options)
+    return report.scan_result(requests, findings, **policy_options)
 
 
 def scan_key_hash() -> Column:

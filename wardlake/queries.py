@@ -199,8 +199,9 @@ define("analyze_dispatch", lambda s, p: d.code_files(s, p).select(
     F.array_contains(F.array(*(F.lit(e) for e in tokens.LEXED_EXTENSIONS)),
                      paths.bare_extension(F.col("path"))).alias("lexed")))
 define("advanced_findings", lambda s, p: _all_advanced(s, p).select(*ADV_OUT))
-define("advanced_result", lambda s, p: advanced.advanced_result(_all_advanced(s, p)).select(
-    "repo_path", "part", "total_findings", "scan_type",
+define("advanced_result", lambda s, p: advanced.advanced_result(
+        scan_plan.stored_table(_all_advanced(s, p))).select(
+    "repo_path", "file", "total_findings", "scan_type",
     F.array_join(F.array_sort(F.transform("findings", lambda f: F.concat_ws(
         ":", f["finding_type"], f["file"], f["line"], f["column"]))), " ").alias("listing")))
 define("scan_metrics", lambda s, p: advanced.scan_metrics(
@@ -257,7 +258,7 @@ def _verdicts(s: SparkSession, p: str) -> DataFrame:
 
 
 def _joined(result: DataFrame) -> DataFrame:
-    return result.select("repo_path", "part", "passed",
+    return result.select("repo_path", "file", "passed",
                          F.array_join("violations", " | ").alias("violations"),
                          F.array_join("warnings", " | ").alias("warnings"))
 
@@ -288,7 +289,7 @@ def scan_result(s: SparkSession, p: str) -> DataFrame:
     """The flagship: the nested result, its arrays rendered as text for comparison."""
     r = scan_results(s, p)
     return r.select(
-        "repo_path", "branch", "commit_hash", "part", "risk_score", "risk_level", "passed",
+        "repo_path", "branch", "commit_hash", "file", "risk_score", "risk_level", "passed",
         F.array_join(F.transform("secrets", lambda x: F.concat_ws(
             ":", x["file"], x["line"], x["type"], x["severity"], x["match"])), " ")
         .alias("secrets"),
@@ -301,22 +302,22 @@ def scan_result(s: SparkSession, p: str) -> DataFrame:
 
 
 define("scan_result_json", lambda s, p: scan_results(s, p).select(
-    "repo_path", "part", sinks.scan_result_json().alias("document")))
+    "repo_path", "file", sinks.scan_result_json().alias("document")))
 
 
 @query
 def scan_results_json(s: SparkSession, p: str) -> DataFrame:
     """Documents written and read back with the declared schema."""
     docs = scan_results(s, p).select(sinks.scan_result_json().alias("document"))
-    return fs.parse_scan_results(docs).select(
-        "repo_path", "risk_score", "passed", F.size("secrets").alias("n_secrets"),
-        F.size("cves").alias("n_cves"), F.size("code_issues").alias("n_code_issues"))
+    return fs.parse_scan_results(docs).groupBy("repo_path", "risk_score", "passed").agg(
+        F.sum(F.size("secrets")).alias("n_secrets"), F.sum(F.size("cves")).alias("n_cves"),
+        F.sum(F.size("code_issues")).alias("n_code_issues"))
 
 
 @query
 def secrets_report_json(s: SparkSession, p: str) -> DataFrame:
     return sinks.secrets_report(secrets.secrets_strict(d.code_files(s, p))).select(
-        "repo_path", "part", "report")
+        "repo_path", "file", "report")
 
 
 define("deploy_env", lambda s, p: d.requests(s, p).select(
@@ -468,7 +469,7 @@ def stream_rollback(s: SparkSession, p: str) -> DataFrame:
 define("gate_exit_code", lambda s, p: _verdicts(s, p).select(
     "repo_path", report.gate_exit_code().alias("exit_code")))
 define("markdown_report", lambda s, p: report.markdown_report(scan_results(s, p)).select(
-    "repo_path", "part", "markdown"))
+    "repo_path", "file", "markdown"))
 
 
 @query

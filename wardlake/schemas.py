@@ -26,7 +26,7 @@ CVE = _struct(package=_S, severity=_S, cve=_S, description=_S, cvss=_D)
 CODE_ISSUE = _struct(file=_S, line=_I, type=_S, severity=_S, description=_S)
 POLICY_RESULT = _struct(passed=_B, violations=T.ArrayType(_S), warnings=T.ArrayType(_S))
 SCAN_RESULT = _struct(
-    timestamp=_TS, repo_path=_S, branch=_S, commit_hash=_S, risk_score=_I, risk_level=_S,
+    timestamp=_TS, repo_path=_S, branch=_S, commit_hash=_S, file=_S, risk_score=_I, risk_level=_S,
     passed=_B, secrets=T.ArrayType(SECRET), cves=T.ArrayType(CVE),
     code_issues=T.ArrayType(CODE_ISSUE), policy_result=POLICY_RESULT, summary=_S,
 )

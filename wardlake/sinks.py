@@ -19,17 +19,15 @@ def write_scan_results(results: DataFrame, path: str) -> None:
     results.select(*SCAN_RESULT.names).write.mode("append").json(path)
 
 
-def secrets_report(secrets: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """``{"secrets": [...]}`` per repository (in parts), fields named as the scanner names them."""
-    from wardlake.operators.report import with_part
+def secrets_report(secrets: DataFrame) -> DataFrame:
+    """``{"secrets": [...]}`` per repository and file, fields named as the scanner names them."""
     renamed = {"type": "secret_type", "match": "matched_text"}
     item = F.struct(*(F.col(n).alias(renamed.get(n, n)) for n in SECRET.names))
-    parted = with_part(secrets, SCAN_KEY, [*SCAN_KEY, "file", "line", "type"], part_rows)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(
-        F.split("file", "/").alias("path_arr"), "line", "type", item.alias("item")))),
+        "line", "type", item.alias("item")))),
         lambda e: e["item"])
-    return parted.groupBy(*SCAN_KEY, "part").agg(ordered.alias("secrets")).select(
-        *SCAN_KEY, "part", F.to_json(F.struct("secrets"), {"pretty": "true"}).alias("report"))
+    return secrets.groupBy(*SCAN_KEY, "file").agg(ordered.alias("secrets")).select(
+        *SCAN_KEY, "file", F.to_json(F.struct("secrets"), {"pretty": "true"}).alias("report"))
 
 
 def write_rollback_log(requests: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlake.session import use_local_scratch
 from wardlake.sources.files import spread
 
 # {H} is the md5 of doc_id, {Hn} its first n characters, {U16} the first 16 in capitals,
@@ -140,6 +141,8 @@ def _columns(spec: dict[str, str]) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, the start of every registered query."""
+    use_local_scratch(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -180,13 +183,8 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files and manifests of every repository in one read of the table: each row of
-    ``documents`` gives its file and its repository's manifest, whose findings fold to one."""
-    path, content = _source_file()
-    manifest = F.struct(F.expr(MANIFEST_COLUMNS["path"]).alias("path"),
-                        F.expr(MANIFEST_COLUMNS["content"]).alias("content"))
-    rows = F.array(F.struct(path.alias("path"), content.alias("content")), manifest)
-    return documents(spark, sf_dir).select(*_expressions(KEY_COLUMNS), F.inline(rows))
+    """Source files and manifests of every repository; the text is read once."""
+    return code_files(spark, sf_dir).unionByName(manifests(spark, sf_dir))
 
 
 REQUEST_COLUMNS = {
