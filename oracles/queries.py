@@ -140,9 +140,8 @@ add("rollback_dispatch_payload", f"""SELECT host, {TICK}, '{{"ref":"main","input
 add("rollback_log", f"SELECT 'Runtime anomalies detected' AS reason, {STAMP} AS timestamp FROM decided WHERE rollback", "decided")
 add("stream_reverse_shell", f"SELECT host, {TICK}, seq, line FROM net WHERE regexp_matches(line, '/bin/sh|/bin/bash|nc -e|ncat|python.*socket|perl.*socket')", "net")
 add("stream_suspicious_process", f"SELECT host, {TICK}, seq, line FROM proc_lines WHERE contains(lower(line), 'xmrig')", "proc_lines")
-# A stream reports a tick once the watermark has passed it, so the newest tick is still open.
-add("stream_port_anomalies", f"SELECT {AN} FROM (SELECT * FROM an_port UNION ALL SELECT * FROM an_scan) WHERE tick < (SELECT max(tick) FROM net)", "an_port", "an_scan", "net")
-add("stream_rollback", f"SELECT host, {TICK}, n::INTEGER AS n_anomalies, crit::INTEGER AS n_critical, rollback FROM decided WHERE tick < (SELECT max(tick) FROM an_all)", "decided", "an_all")
+add("stream_port_anomalies", f"SELECT {AN} FROM (SELECT * FROM an_port UNION ALL SELECT * FROM an_scan)", "an_port", "an_scan")
+add("stream_rollback", f"SELECT host, {TICK}, n::INTEGER AS n_anomalies, crit::INTEGER AS n_critical, rollback FROM decided", "decided")
 
 add("gate_exit_code", "SELECT repo_path, CASE WHEN passed THEN 0 ELSE 1 END AS exit_code FROM verdicts", "verdicts")
 add("last_stable_commit", """

@@ -449,8 +449,17 @@ define("stream_reverse_shell", lambda s, p: _run(
 define("stream_suspicious_process", lambda s, p: _run(
     stream.stream_suspicious_process(_event_stream(s, p, d.PROCESS_LINE)), LINE_SCHEMA)
     .select("host", _tick(), "seq", "line"))
-define("stream_port_anomalies", lambda s, p: _anomalies(_run(
-    stream.stream_port_anomalies(_event_stream(s, p, d.NET_LINE)), stream.ANOMALY_SCHEMA)))
+LATENESS = "0 seconds"  # the tables arrive whole
+
+
+@query
+def stream_port_anomalies(s: SparkSession, p: str) -> DataFrame:
+    """Every tick's anomalies; the input's end closes the last ticks."""
+    lines, path = d.net_snapshots(s, p), scratch_dir(s) + "/ends"
+    stream.end_rows(lines, LATENESS).write.parquet(path)
+    ends = stream.read_snapshots(s, path, lines.schema)
+    net = _event_stream(s, p, d.NET_LINE).unionByName(ends)
+    return _anomalies(_run(stream.stream_port_anomalies(net, LATENESS), stream.ANOMALY_SCHEMA))
 
 
 @query
@@ -459,8 +468,10 @@ def stream_rollback(s: SparkSession, p: str) -> DataFrame:
     base = scratch_dir(s)
     rows = _runtime(s, p).select("host", "tick_ts", *ANOMALY_OUT)
     sinks.write_table(rows, base + "/anomalies")
+    sinks.write_table(stream.end_rows(s.read.schema(rows.schema).parquet(base + "/anomalies"),
+                                      LATENESS), base + "/anomalies")
     anomalies_in = stream.read_snapshots(s, base + "/anomalies", rows.schema)
-    return _run(stream.stream_rollback(anomalies_in), stream.DECISION_SCHEMA).select(
+    return _run(stream.stream_rollback(anomalies_in, LATENESS), stream.DECISION_SCHEMA).select(
         "host", _tick(), "n_anomalies", "n_critical", "rollback")
 
 

@@ -4,7 +4,9 @@ The line checks are the batch predicates applied to a stream. The port checks an
 rollback counter need state per host; both run in ``applyInPandasWithState``. A tick may
 arrive over several batches, so its rows wait in state until the watermark passes the tick;
 then ticks are worked off in time order. State per host is its baseline, one counter and
-the ticks still open.
+the ticks still open. How late rows may be is for the caller to say: hosts share the watermark,
+and rows behind it are dropped (a query's progress counts them in numRowsDroppedByWatermark).
+When input ends, ``end_rows`` moves the watermark past the last ticks.
 """
 
 from __future__ import annotations
@@ -32,6 +34,20 @@ def read_snapshots(spark: SparkSession, path: str, schema=SNAPSHOT_LINE,
     return spark.readStream.format(source).schema(schema).options(**options).load(path)
 
 
+def end_rows(snapshots: DataFrame, lateness: str) -> DataFrame:
+    """End-of-input rows for a table that a stream has read, one per host, to be appended to it.
+
+    They are later than every tick by more than ``lateness``, have nulls besides host and tick,
+    and are never reported themselves.
+    """
+    after = F.expr(f"interval 1 day + interval {lateness}")
+    newest = snapshots.agg(F.max("tick_ts") + after).first()[0]
+    ends = snapshots.select("host").distinct().withColumn(
+        "tick_ts", F.lit(newest).cast("timestamp"))
+    return ends.select(*(
+        c if c in ("host", "tick_ts") else F.lit(None).cast(t).alias(c) for c, t in snapshots.dtypes))
+
+
 def stream_reverse_shell(net: DataFrame) -> DataFrame:
     """Every matching line as it arrives (the batch form keeps the first per tick)."""
     return net.where(runtime.is_reverse_shell()).select(
@@ -107,7 +123,7 @@ def _follow_ports(key: tuple, batches: Iterator[pd.DataFrame],
     yield pd.DataFrame(rows, columns=names).astype({"tick_ts": "datetime64[ns]"})
 
 
-def stream_port_anomalies(net: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+def stream_port_anomalies(net: DataFrame, lateness: str) -> DataFrame:
     """New suspicious ports and port scans per completed tick.
 
     Lines without a listening port still open their tick (port -1): the first tick of a
@@ -148,7 +164,7 @@ def _follow_rollbacks(key: tuple, batches: Iterator[pd.DataFrame],
     yield pd.DataFrame(rows, columns=names).astype({"tick_ts": "datetime64[ns]"})
 
 
-def stream_rollback(anomalies: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+def stream_rollback(anomalies: DataFrame, lateness: str) -> DataFrame:
     """Rollback decision per completed tick, from a stream of anomalies."""
     rows = anomalies.withWatermark("tick_ts", lateness).select("host", "tick_ts", "severity")
     return rows.groupBy("host").applyInPandasWithState(
