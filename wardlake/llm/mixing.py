@@ -132,7 +132,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     sources = targets(sizes, weights, most)
     places = streams(sizes, sources, block)
     taken = slots(sources, block, shard, most, seed)
-    return sizes, sources, _block_words(places, block).join(taken, ["sid", "block"])
+    # Both sides are spread out from few rows, which Spark would take for a small side.
+    parts = _block_words(places, block).join(taken.hint("merge"), ["sid", "block"])
+    return sizes, sources, parts
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
