@@ -7,7 +7,7 @@ An undefined input makes a condition false, so every condition is coalesced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.schemas import SCAN_KEY
@@ -59,6 +59,16 @@ def max_risk() -> Column:
     return value
 
 
+def env_thresholds(spark: SparkSession) -> DataFrame:
+    """The environments' score limits as a table; append to it or pass your own."""
+    return spark.createDataFrame(list(MAX_RISK.items()), "environment string, max_risk int")
+
+
+def env_threshold_join(scans: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Adds ``max_risk`` by ``environment``; null where the table has none."""
+    return scans.join(thresholds.dropDuplicates(["environment"]), "environment", "left")
+
+
 def deny_scanners() -> list[Column]:
     return [F.when(~_holds(F.col("scanners")[s]["status"] == "passed"),
                    F.lit(f"Required scanner '{s}' did not pass")) for s in REQUIRED_SCANNERS]

@@ -357,7 +357,8 @@ define("rego_deny_hours", lambda s, p: d.requests(s, p).select(
     "repo_path", rego.deny_hours(F.lit(False)).alias("message")).where("message is not null"))
 define("rego_max_risk", lambda s, p: d.requests(s, p).select(
     "repo_path", "environment", rego.max_risk().alias("max_risk")))
-define("env_threshold_join", QUERIES["rego_max_risk"])
+define("env_threshold_join", lambda s, p: rego.env_threshold_join(
+    d.requests(s, p), rego.env_thresholds(s)).select("repo_path", "environment", "max_risk"))
 define("rego_required_scanners", lambda s, p: d.requests(s, p).select(
     "repo_path", F.explode(F.array_compact(F.array(*rego.deny_scanners()))).alias("message")))
 
