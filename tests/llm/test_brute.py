@@ -252,6 +252,28 @@ def test_near_copies(spark, paired):
     assert sum(r.representative for r in got) == 6
 
 
+@pytest.mark.parametrize("shared, least", [(0.80, 0.8), (0.85, 0.85), (0.90, 0.9)])
+def test_lone_near_copies(spark, shared, least):
+    """160 pairs that have no other relative, each just at or above the similarity."""
+    rng, rows = np.random.default_rng(int(100 * shared)), []
+    for p in range(160):
+        words = [f"w{x}" for x in rng.integers(1 << 30, size=204)]
+        # One end replaced: 200 shingles each, of which ``same`` are in both.
+        same = math.ceil(2 * 200 * least / (1 + least))
+        other = words[:same + 4] + [f"x{x}" for x in rng.integers(1 << 30, size=200 - same)]
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table).collect()}
+    assert [got[k] for k, _ in rows] == [k - k % 2 for k, _ in rows]
+
+
+def test_pairs_below_the_similarity_stay_apart(spark):
+    words = [f"w{i}" for i in range(204)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:181] + [f"x{i}" for i in range(23)]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")  # 177 of 223 shingles
+    assert {r.component_id for r in simhash.similar_documents(table).collect()} == {0, 1}
+
+
 def test_line_positions(spark):
     line = "a line that is long enough to be looked at by the rule"
     rows = [(i, f"own {i}\n{line}\n\n  {line.upper()} \nend {i}\n") for i in range(6)]

@@ -27,11 +27,10 @@ from wardlake.llm.common import digest, stored
 BITS, SHINGLE, DISTANCE, BLOCKS, SEED = 64, 3, 2, 5, 42
 #: Above so many fingerprints in a bucket, patterns take the place of pairs.
 PAIRED = 24
-#: For many-lane fingerprints: bits of a block, and pairs up to fewer in a bucket, as there the
-#: star of a bucket is followed by what it left out. Chance agreement of different texts stays
-#: rare while the bits are some more than the binary logarithm of the number of distinct texts.
-BLOCK_BITS, FEW = 24, 4
-_CHUNK = 1 << 16
+#: For sets of shingles: bands and MinHash values in each, and pairs up to fewer in a bucket, as
+#: there the star of a bucket is followed by what it left out.
+BANDS, ROWS, FEW = 40, 6, 4
+_CHUNK, _STEP = 1 << 16, 256
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> list[int]:
@@ -181,110 +180,162 @@ def _classes(found: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame
                     (row == F.col("head")).alias("representative")))
 
 
-def wide_prints(docs: DataFrame, width: int, lanes: int, block_bits: int, id_col: str,
-                text_col: str) -> DataFrame:
-    """``doc_id, d1, d2, lanes, blocks`` per row: a fingerprint of 64 bits for each lane, from
-    hashes that are mixed anew for it, and the same bits in blocks. Null texts are empty."""
-    n_blocks, place = lanes * BITS // block_bits, 1 << np.arange(block_bits, dtype=np.int64)
-    mixers = np.random.default_rng(SEED).integers(1 << 63, size=lanes, dtype=np.uint64)
-
-    def expand(hashes: np.ndarray) -> np.ndarray:
-        x = hashes[:, None] ^ mixers[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        return x ^ x >> np.uint64(31)
-
-    def one(text: str) -> tuple[np.ndarray, np.ndarray]:
-        hashes = np.array(sorted(set(shingle_hashes(text, width))), np.uint64)
-        ones = np.zeros(lanes * BITS, np.int64)
-        for at in range(0, len(hashes), _CHUNK // lanes):
-            raw = expand(hashes[at:at + _CHUNK // lanes]).view(np.uint8)
-            ones += np.unpackbits(raw.reshape(-1, lanes * 8), axis=1).sum(axis=0, dtype=np.int64)
-        bits = 2 * ones > len(hashes)
-        cut = bits[:n_blocks * block_bits].reshape(n_blocks, block_bits)
-        return np.packbits(bits).view(np.int64), cut @ place
+def shingle_sets(docs: DataFrame, width: int, bands: int, rows: int, id_col: str,
+                 text_col: str) -> DataFrame:
+    """``doc_id, d1, d2, fp, size, blocks, sketch`` per row: a hash of the text's set of shingles,
+    its size, for each band a hash of ``rows`` MinHash values, and a bit of each value. Null
+    texts are empty."""
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(1 << 63, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offsets = rng.integers(1 << 63, size=bands * rows, dtype=np.uint64) * np.uint64(2)
+    mixers = rng.integers(1 << 63, size=rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def one(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
+        found = shingle_set(text, width)
+        least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(found), _STEP):
+            mixed = found[at:at + _STEP, None] * factors
+            mixed += offsets
+            np.minimum(least, mixed.min(axis=0), out=least)
+        blocks = ((least ^ least >> np.uint64(29)).reshape(bands, rows) * mixers).sum(
+            axis=1, dtype=np.uint64)
+        print_of = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+        # Products with an odd factor, so that the bit isn't the same as a small value's.
+        bits = (least * mixers[0] >> np.uint64(63)).astype(np.uint8)
+        sketch = np.packbits(np.pad(bits, (0, -len(bits) % BITS))).view(np.int64)
+        return _signed(print_of), len(found), blocks.view(np.int64), sketch
+
+    longs = pa.list_(pa.int64())
 
     def of(batches):
         for batch in batches:
             values = [one(t.as_py() or "") for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array([v[i] for v in values], pa.list_(pa.int64()))
-                                       for i in (0, 1))],
-                names=["doc_id", "d1", "d2", "lanes", "blocks"])
+                [*batch.columns[:3], *(pa.array([v[i] for v in values], kind) for i, kind in
+                                       enumerate((pa.int64(), pa.int64(), longs, longs)))],
+                names=["doc_id", "d1", "d2", "fp", "size", "blocks", "sketch"])
 
+    return _digested(docs, id_col, text_col).mapInArrow(
+        of, "doc_id long, d1 long, d2 long, fp long, size long, blocks array<long>, "
+            "sketch array<long>")
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d1, d2 = digest(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), d1.alias("d1"),
-                       d2.alias("d2"), F.col(text_col).alias("text")).mapInArrow(
-        of, "doc_id long, d1 long, d2 long, lanes array<long>, blocks array<long>")
+                       d2.alias("d2"), F.col(text_col).alias("text"))
+
 
+def _sets_of(docs: DataFrame, prints: DataFrame, width: int) -> DataFrame:
+    """``fp, shingles`` for the distinct sets ``prints`` (fp, first), made again from the text of
+    their first rows: only sets that meet another are ever shuffled or written."""
+    def of(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py() or "", width).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
-def most_bits(similarity: float, lanes: int) -> int:
-    """Differing bits to expect at a Jaccard similarity of shingle sets, and two deviations more:
-    the angle between the sets grows with them in proportion."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = lanes * BITS
-    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+    keys = prints.select("fp", F.col("first.doc_id").alias("k_id"), F.col("first.d1").alias("k1"),
+                         F.col("first.d2").alias("k2"))
+    rows = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("d1") == F.col("k1"))
+                     & (F.col("d2") == F.col("k2"))).select("fp", "text")
+    # Rows alike in id and text come once.
+    return rows.mapInArrow(of, "fp long, shingles array<long>").groupBy("fp").agg(
+        F.first("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, most: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def side(name: str) -> DataFrame:
-        return prints.select(F.col("fp").alias(name), F.col("lanes").alias(f"{name}_lanes"))
+        return sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"{name}_set"))
 
-    apart = F.aggregate(F.zip_with("a_lanes", "b_lanes", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                        F.lit(0), lambda n, x: n + x)
-    return (pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-            .where(apart <= most).select("a", "b"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    union = F.size("a_set") + F.size("b_set") - both
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(both / union >= similarity).select("a", "b"))
 
 
-def similar_links(prints: DataFrame, most: int, paired: int = FEW) -> DataFrame:
-    """``a, b``: verified links among ``fp, lanes, blocks``.
+def most_bits(similarity: float, values: int) -> int:
+    """Sketch bits that differ at a similarity: half of the MinHash values that do, and five
+    deviations more, which one pair in three million exceeds."""
+    share = (1 - similarity) / 2
+    return int(np.ceil(values * share + 5 * np.sqrt(values * share * (1 - share))))
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, width: int, similarity: float, most: int,
+                  paired: int = FEW) -> DataFrame:
+    """``a, b``: verified links among ``fp, size, blocks, sketch, first``.
 
     In a bucket of up to ``paired`` fingerprints all pairs are verified. A larger one is mostly
-    one group of copies: first all hang on its smallest, and what is connected by then needs no
-    more links. What is left is met with the whole bucket by the fingerprints outside its
-    largest component, so pairs inside a component are never made.
+    one group of copies: first all hang on the one that meets the most others, and what is
+    connected by then needs no more links. What is left is met with the whole bucket by the
+    fingerprints outside its largest component, so pairs inside a component are never made.
     """
-    dealt = prints.select("fp", F.posexplode("blocks").alias("of", "bits"))
-    met = dealt.groupBy("of", "bits").agg(F.count("*").alias("n"), F.min("fp").alias("head"))
-    shared = stored(dealt.join(met.where(F.col("n") > 1), ["of", "bits"]), "buckets")
+    dealt = prints.select("fp", "size", "sketch", F.posexplode("blocks").alias("of", "bits"))
+    met = dealt.groupBy("of", "bits").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = stored(dealt.join(met, ["of", "bits"]), "buckets")
+    hubs = stored(shared.groupBy("fp").agg(F.sum("n").alias("hub")), "hubs")
+    met_sets = prints.join(hubs, "fp", "left_semi").select("fp", "first")
+    sets = stored(_sets_of(docs, met_sets, width), "sets")
+    member = F.struct("fp", "size", "sketch")
+
+    def likely(a: str, b: str) -> Column:
+        """Sizes and sketches of two members don't rule their similarity out."""
+        apart = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch",
+                                       lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                            F.lit(0), lambda n, x: n + x)
+        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+        return (small >= (similarity - 1e-9) * large) & (apart <= most)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a.fp", "b.fp").alias("a"),
+                            F.greatest("a.fp", "b.fp").alias("b")).distinct()
+
     few = (shared.where(F.col("n") <= paired).groupBy("of", "bits")
-           .agg(F.sort_array(F.collect_list("fp")).alias("fps")))
-    pairs = (few.select("fps", F.posexplode("fps").alias("i", "a"))
-             .select("a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b")))
-    crowded = shared.where(F.col("n") > paired)
-    stars = crowded.where(F.col("fp") > F.col("head")).select(
-        F.col("head").alias("a"), F.col("fp").alias("b"))
-    found = stored(_verified(pairs.union(stars), prints, most), "pairs")
-    roots = components(found).withColumnRenamed("node", "fp")
-    rooted = stored(crowded.join(roots, "fp", "left").select(
-        "of", "bits", "fp", F.coalesce("root", "fp").alias("root")), "crowded")
+           .agg(F.collect_list(member).alias("members")))
+    pairs = (few.select("members", F.posexplode("members").alias("i", "a"))
+             .select("a", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("b")))
+    crowded = stored(shared.where(F.col("n") > paired).join(hubs, "fp")
+                     .select("of", "bits", "hub", member.alias("b")), "members")
+    heads = crowded.groupBy("of", "bits").agg(F.max(F.struct("hub", "b"))["b"].alias("a"))
+    stars = crowded.join(heads, ["of", "bits"]).where(F.col("a.fp") != F.col("b.fp")).select("a", "b")
+    found = stored(_verified(ordered(pairs.union(stars).where(likely("a", "b"))), sets, similarity),
+                   "pairs")
+    roots = components(found).select(F.col("node").alias("fp"), "root")
+    rooted = stored(crowded.join(roots, F.col("b.fp") == F.col("fp"), "left").select(
+        "of", "bits", "b", F.coalesce("root", "b.fp").alias("root")), "crowded")
     sizes = rooted.groupBy("of", "bits", "root").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("of", "bits").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
     outside = (rooted.join(largest, ["of", "bits"]).where(F.col("root") != F.col("main"))
-               .select("of", "bits", F.col("fp").alias("a"), F.col("root").alias("a_root")))
-    rest = (rooted.join(outside, ["of", "bits"]).where(F.col("root") != F.col("a_root"))
-            .select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")))
-    return found.union(_verified(rest, prints, most))
+               .select(F.col("of").alias("a_of"), F.col("bits").alias("a_bits"),
+                       F.col("b").alias("a"), F.col("root").alias("a_root")))
+    rest = rooted.join(outside, (F.col("of") == F.col("a_of")) & (F.col("bits") == F.col("a_bits"))
+                       & (F.col("root") != F.col("a_root")) & likely("a", "b"))
+    return found.union(_verified(ordered(rest), sets, similarity))
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 16,
-                      block_bits: int = BLOCK_BITS, paired: int = FEW, id_col: str = "doc_id",
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS,
+                      rows: int = ROWS, paired: int = FEW, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """``doc_id, d1, d2, component_id, representative`` per row, as ``near_duplicates``, by sets
-    of ``width``-word shingles that agree to ``similarity`` or more.
+    """``doc_id, d1, d2, fp, component_id, representative`` per row, as ``near_duplicates``, by
+    sets of ``width``-word shingles whose Jaccard similarity is ``similarity`` or more.
 
-    That is about 15 bits in 64, out of reach for blocks that must agree for certain, so
-    fingerprints have many lanes, and pairs meet if one block of ``block_bits`` agrees: with 16
-    lanes and 24 bits always up to 41 bits (a similarity of 0.95), at 0.9 for 95 pairs in 100, at
-    0.85 for 78, at 0.8 for 56; members of a group also meet through each other.
+    Pairs meet if all ``rows`` MinHash values of one of ``bands`` bands agree, with chance
+    1 - (1 - s ** rows) ** bands at a similarity of s: with 40 bands of 6, a lone pair at 0.8 is
+    missed 5 times in a million, at 0.85 6 times in a billion; sketches rule out one in three
+    million. What is left is verified by the whole sets: no pair below ``similarity`` is linked.
     """
-    found = stored(wide_prints(docs, width, lanes, block_bits, id_col, text_col)
-                   .withColumn("fp", F.xxhash64("lanes")), "fingerprints")
+    found = stored(shingle_sets(docs, width, bands, rows, id_col, text_col), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d1", "d2")
-    prints = stored(found.groupBy("fp").agg(F.first("lanes").alias("lanes"),
-                                            F.first("blocks").alias("blocks"), F.min(row).alias("first")), "prints")
-    return _classes(found.drop("lanes", "blocks"), prints.select("fp", "first"), similar_links(
-        prints, most_bits(similarity, lanes), paired))
+    prints = stored(found.groupBy("fp").agg(F.first("size").alias("size"),
+                                            F.first("blocks").alias("blocks"),
+                                            F.first("sketch").alias("sketch"), F.min(row).alias("first")), "prints")
+    edges = similar_links(_digested(docs, id_col, text_col), prints, width, similarity,
+                          most_bits(similarity, bands * rows), paired)
+    return _classes(found.drop("size", "blocks", "sketch"), prints.select("fp", "first"), edges)
 
 
 def hex_print(fp: Column) -> Column:
