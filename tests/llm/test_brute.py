@@ -176,6 +176,12 @@ def test_cache_encodes_only_misses(spark, docs, ids):
     assert spark.read.parquet(cache).count() == len({r.text for r in docs.values()})
 
 
+def test_very_long_runs_of_blanks_are_encoded():
+    own = Encoder(queries.tokenizer_path())
+    for text in ("a" + " " * 2_000_000 + "b", "a" + " \n" * 1_000_000):
+        assert own.encode(text).tolist() == own.library.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_agrees_with_the_library(docs, ids):
     own = Encoder(queries.tokenizer_path())
     assert own.ranks is not None
