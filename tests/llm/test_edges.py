@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardlake.llm import (fingerprints, knn_quality, langid, line_dedup, line_frequency, mixing,
-                          packing, secret_owners, simhash, token_counts)
+from wardlake.llm import (fingerprints, knn_quality, langid, license_scan, line_dedup,
+                          line_frequency, merkle, mixing, packing, secret_owners, simhash, spelling,
+                          token_counts)
 from wardlake.llm.queries import tokenizer_path
 from wardlake.session import scratch_dir
 
@@ -50,9 +51,21 @@ OPERATORS = {
     "lines with rows": lambda s, d: line_dedup.line_dedup(d, with_rows=True),
     "packing": lambda s, d: packing.pack_documents(d, tokenizer_path()),
     "language": lambda s, d: langid.predict(d, langid.train(d)),
+    "licences": lambda s, d: license_scan.license_scan(d),
+    "manifest": lambda s, d: merkle.manifest(d),
 }
 
 
+def test_spelling_on_odd_rows(spark, odd):
+    """Per word, not per row: repeated rows count twice, empty tables give nothing."""
+    from tests.llm.test_new_operators import brute_variants
+
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n)
+           for r in spelling.variants(odd).collect()}
+    assert got == brute_variants([(r[0], r[1]) for r in ROWS]) and got["quick"][2] == 9
+    assert spelling.variants(odd.where("false")).collect() == []
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_a_row_for_each_row(spark, odd, name):
     got = OPERATORS[name](spark, odd).collect()

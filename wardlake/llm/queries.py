@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import (fingerprints, knn_quality, langid, line_dedup, line_frequency, mixing,
-                          packing, secret_owners, simhash, token_counts)
+from wardlake.llm import (fingerprints, knn_quality, langid, license_scan, line_dedup,
+                          line_frequency, merkle, mixing, packing, secret_owners, simhash, spelling,
+                          token_counts)
 from wardlake.session import scratch_dir, use_local_scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -82,7 +83,20 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "lang_pred", "score", "bits_per_byte")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sketch_fingerprints, op2_quality_knn, op3_quality_rules, op4_secret_owners,
     op5_source_mix, op6_token_counts, op7_simhash, op8_line_dedup,
-    op9_best_fit_packing, op10_language_ppm)}
+    op9_best_fit_packing, op10_language_ppm, op11_license_scan, op12_spelling_variants,
+    op13_merkle_manifest)}
