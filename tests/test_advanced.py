@@ -57,3 +57,48 @@ def test_metrics(make_files):
     row = a.scan_metrics(files).first()
     assert (row.files_processed, row.total_lines) == (3, 5)
     assert a.language_stats_map(a.language_stats(files)).first().language_stats == {"py": 2, "rs": 1}
+
+
+def nested(depth, inner="a + b"):
+    return "f(" * (depth - 1) + inner + ")" * (depth - 1)
+
+
+def test_call_sites_at_any_depth(make_files):
+    go = "\n".join(f"db.Query({nested(d)})" for d in range(1, 11))
+    rs = "\n".join(f"let v = x.y({nested(d, '1')}).unwrap();" for d in range(1, 11))
+    js = "\n".join(f"g({nested(d, 'eval(' + nested(d) + ')')});" for d in range(1, 11))
+    py = "\n".join("exec(" + nested(d, "'(' + s") + ")" for d in range(1, 11))
+    rs_block = "fn f() { unsafe { " + "{ " * 12 + "*p" + " }" * 12 + " } }\n"
+    files = make_files(("a.go", go), ("a.rs", rs), ("a.js", js), ("a.py", py), ("b.rs", rs_block))
+    got = {}
+    for name in ("go_sql_concat", "rust_unwrap", "js_eval", "py_dynamic_exec",
+                 "rust_unsafe_blocks"):
+        rows = sorted(a.call_sites(files, a.CALL_SITES[name]).collect(),
+                      key=lambda r: (r.file, r.line))
+        got[name] = rows
+    assert [r.line for r in got["go_sql_concat"]] == list(range(1, 11))
+    assert [r.line for r in got["rust_unwrap"]] == list(range(1, 11))
+    assert [r.line for r in got["js_eval"]] == list(range(1, 11))
+    assert [r.line for r in got["py_dynamic_exec"]] == list(range(1, 11))
+    assert [(r.file, r.line) for r in got["rust_unsafe_blocks"]] == [("r/b.rs", 1)]
+    deepest = got["go_sql_concat"][-1].code_context
+    assert f"db.Query({nested(10)})" in deepest
+    assert "x.y(" + nested(10, "1") + ").unwrap()" in got["rust_unwrap"][-1].code_context
+    assert got["js_eval"][-1].column == len("g(" + "f(" * 9) + 1
+
+
+def test_scan_is_linear_in_the_file():
+    import time
+
+    site = [a.CALL_SITES["rust_unwrap"]]
+
+    def took(n):
+        text = "".join(f"let v{i} = x.y(f(g(h(k({i}))))).unwrap(); // z.unwrap()\n"
+                       for i in range(n))
+        begin = time.perf_counter()
+        found = a.scan_file(text, "rs", site)
+        assert len(found) == n and found[-1]["line"] == n
+        return time.perf_counter() - begin
+
+    took(500)
+    assert took(4000) < 2.5 * 2 * took(2000) + 0.05

@@ -1,16 +1,19 @@
 """Advanced, multi-language findings: line patterns, data flow, crypto, and call sites.
 
-Call sites come from lexing, not parsing: a file's text is cut into segments that end at
-a candidate call outside comments and strings. Nested calls and chains of unwraps are
-reported once, where they start, and only common literal forms are told apart (no raw
-strings, no nested block comments).
+Call sites come from lexing, not parsing: each file is scanned once per detector that applies,
+from left to right, stepping over comments and strings; a node takes its bracketed arguments
+or block whole at any depth (recursive groups). Nested calls and chains of unwraps are reported
+once, where they start, and only common literal forms are told apart (no raw strings, no nested
+block comments). The scan runs per file in an Arrow-batched pandas UDF, since Spark's regular
+expressions have no recursion; it is linear in the file's length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +77,8 @@ def _line_report(hits: DataFrame, report: _Report, column: int) -> DataFrame:
 
 # --- call sites --------------------------------------------------------------------------
 
-# Comments and string literals, with loops unrolled or possessive so that long ones are
-# matched without recursion.
+# Comments and string literals, with loops possessive so that long ones are matched without
+# backtracking.
 DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 LONG_DOUBLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
@@ -85,10 +88,12 @@ TRIPLE = r'"""(?:[^"]|"(?!""))*+"""|' + r"'''(?:[^']|'(?!''))*+'''"
 # A character literal, so that a lifetime's quote does not open a string.
 CHARACTER = r"'(?:\\[^\n]|[^'\\\n])'"
 
-# Balanced parentheses, three levels deep, strings inside them skipped.
-_FLAT = rf"(?:[^()\"'`]|{DOUBLE}|{SINGLE}|{BACKTICK})*+"
-_ARGS = rf"\({_FLAT}(?:\({_FLAT}(?:\({_FLAT}\){_FLAT})*+\){_FLAT})*+\)"
-_BLOCK = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
+# Balanced parentheses (strings inside them skipped) and braces, at any depth: recursive groups
+# of the ``regex`` module, defined once in front of every detector's pattern.
+_DEFINE = (rf"(?(DEFINE)(?P<args>\((?:[^()\"'`]++|{DOUBLE}|{SINGLE}|{BACKTICK}|(?&args))*+\))"
+           r"(?P<block>\{(?:[^{}]++|(?&block))*+\}))")
+_ARGS = r"(?&args)"
+_BLOCK = r"(?&block)"
 # A step of a method chain other than unwrap and expect.
 _LINK = rf"(?:!?{_ARGS}|\[[^\[\]]*+\]|\?|\s*+\.(?!unwrap\(\)|expect\()\w++)"
 
@@ -144,14 +149,57 @@ CALL_SITES = {
 }
 
 
-def _cut(site: CallSite) -> str:
-    # \G: a segment starts where the last one ended, never inside a string or comment.
-    return rf"(?s)\G(?:{site.skip}|(?!{site.node}).)*+(?:{site.node})"
+HIT = ("array<struct<site:int,start:int,line:int,column:int,node:string,"
+       "context:string>>")
+_compiled: dict[str, object] = {}
 
 
-def _lead(site: CallSite) -> Column:
-    """What a segment holds before its node."""
-    return F.regexp_extract("text", rf"(?s)\A(?:{site.skip}|(?!{site.node}).)*+", 0)
+def _scanner(site: CallSite):
+    """The detector's pattern: a comment or string to step over, or a node."""
+    import regex
+
+    if site.type not in _compiled:
+        _compiled[site.type] = regex.compile(
+            rf"{_DEFINE}(?:{site.skip})|(?P<node>{site.node})", regex.ASCII | regex.DOTALL)
+    return _compiled[site.type]
+
+
+def scan_file(content: str, extension: str | None, sites: Sequence[CallSite]) -> list[dict]:
+    """Nodes of the detectors that apply to a file, in one pass each, linear in its length.
+
+    From left to right, a comment or string is stepped over and a node is taken whole (nodes
+    inside it are not reported on their own); lines and byte columns are running counts.
+    """
+    found = []
+    for index, site in enumerate(sites):
+        if extension not in site.extensions or not any(h in content for h in site.hints):
+            continue
+        at, line, column = 0, 1, 0  # column: bytes since the last newline before ``at``
+        for match in _scanner(site).finditer(content):
+            node = match.group("node")
+            if node is None:
+                continue
+            start = match.start()
+            passed = content[at:start]
+            newline = passed.rfind("\n")
+            if newline >= 0:
+                line += passed.count("\n")
+                column = len(passed[newline + 1:].encode("utf-8"))
+            else:
+                column += len(passed.encode("utf-8"))
+            at = start
+            found.append({"site": index, "start": start, "line": line, "column": column + 1,
+                          "node": node, "context": content[max(start - CONTEXT, 0):
+                                                           start + len(node) + CONTEXT]})
+    return found
+
+
+def _hits(sites: Sequence[CallSite]) -> Callable[[Column, Column], Column]:
+    @F.pandas_udf(HIT)
+    def hits(content: pd.Series, extension: pd.Series) -> pd.Series:
+        return pd.Series([[] if c is None else scan_file(c, e, sites)
+                          for c, e in zip(content, extension)])
+    return hits
 
 
 def _applies(site: CallSite) -> Column:
@@ -159,46 +207,22 @@ def _applies(site: CallSite) -> Column:
             & tx.contains_any(F.col("content"), site.hints))
 
 
-def _with_node(rows: DataFrame, lead: Column) -> DataFrame:
-    """From (content, sizes, nth, text): the node, its start, line and byte column.
-
-    Offsets are sums over the few segment lengths before the node: all in the file's row.
-    """
-    content, start = F.col("content"), F.col("start")
-    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("nth")), F.lit(0), lambda a, n: a + n)
-    out = rows.withColumn("lead_size", F.char_length(lead))
-    out = out.withColumn("start", before + F.col("lead_size"))
-    out = out.withColumn("node", F.substring("text", F.col("lead_size") + 1,
-                                             F.char_length("text")))
-    prefix = F.substring(content, F.lit(1), start)
-    newlines = F.char_length(prefix) - F.char_length(
-        F.replace(prefix, F.lit("\n"), F.lit("")))
-    context_start = F.greatest(start - CONTEXT, F.lit(0))
-    context_size = start + F.char_length("node") + CONTEXT - context_start
-    return (out.withColumn("node_line", newlines + 1)
-            .withColumn("node_column", F.octet_length(F.substring_index(prefix, "\n", -1)) + 1)
-            .withColumn("node_context", F.substring(content, context_start + 1, context_size)))
-
-
-def _node_qualifies(site: CallSite) -> Column:
-    missing = [~tx.contains_any(F.col("node"), words) for words in site.must_contain]
+def _node_qualifies(site: CallSite, node: Column) -> Column:
+    missing = [~tx.contains_any(node, words) for words in site.must_contain]
     return ~tx.any_of([F.lit(False), *missing])
 
 
 def call_sites(files: DataFrame, site: CallSite) -> DataFrame:
     """Call sites of one detector, from files of its language that contain a hint."""
-    segments = files.where(_applies(site)).select(
-        *SCAN_KEY, "path", "content",
-        F.regexp_extract_all(F.col("content"), F.lit(_cut(site)), F.lit(0)).alias("segments"))
-    located = segments.select(
-        *SCAN_KEY, "path", "content",
-        F.transform("segments", F.char_length).alias("sizes"),
-        F.posexplode("segments").alias("nth", "text"))
-    nodes = _with_node(located, _lead(site)).where(_node_qualifies(site))
+    hits = _hits([site])
+    nodes = files.where(_applies(site)).select(
+        *SCAN_KEY, "path", F.explode(hits(F.col("content"), paths.bare_extension(F.col("path"))))
+        .alias("hit"))
+    nodes = nodes.where(_node_qualifies(site, F.col("hit.node")))
     return _as_finding(
-        nodes.withColumn("line", F.col("node_line")), column=F.col("node_column"),
+        nodes.withColumn("line", F.col("hit.line")), column=F.col("hit.column"),
         kind=site.type, severity=site.severity, description=site.description,
-        confidence=site.confidence, context=F.col("node_context"),
+        confidence=site.confidence, context=F.col("hit.context"),
         vulnerability=site.vulnerability_class)
 
 
@@ -222,36 +246,36 @@ LINE_REPORTS = (
 def advanced_findings(files: DataFrame, rules: Sequence[Rule] = PATTERN_RULES) -> DataFrame:
     """All analyses in one read of the source files; findings are not deduplicated.
 
-    A file becomes pieces: its lines (task 0) and, per detector that applies, its segments
-    (task 1 and up). Pieces of either kind then meet the tests meant for them.
+    A file becomes pieces: its lines (task 0) and the nodes of every detector that applies
+    (task 1 and up, one scan of the file each). Pieces of either kind then meet the tests meant
+    for them.
     """
     sites = list(CALL_SITES.values())
     task, text = F.col("task"), F.col("text")
-    tasks = F.array_compact(F.array(
-        F.lit(0), *(F.when(_applies(s), F.lit(i)) for i, s in enumerate(sites, 1))))
-    todo = api_source_files(files).select(*SCAN_KEY, "path", "content",
-                                          F.explode(tasks).alias("task"))
-    pieces = F.when(task == 0, F.split("content", "\n"))
+    todo = api_source_files(files).select(*SCAN_KEY, "path", "content")
+    any_site = tx.any_of([_applies(s) for s in sites])
+    hits = _hits(sites)(F.when(any_site, F.col("content")), paths.bare_extension(F.col("path")))
+    empty = F.lit(None).cast("string")
+    lines = F.transform(F.split("content", "\n"), lambda piece, i: F.struct(
+        F.lit(0).alias("task"), (i + 1).alias("line"), F.lit(None).cast("int").alias("column"),
+        piece.alias("piece"), empty.alias("context")))
+    nodes = F.transform(hits, lambda h: F.struct(
+        (h["site"] + 1).alias("task"), h["line"].alias("line"), h["column"].alias("column"),
+        h["node"].alias("piece"), h["context"].alias("context")))
+    rows = todo.select(*SCAN_KEY, "path", F.explode(F.concat(lines, nodes)).alias("p")).select(
+        *SCAN_KEY, "path", "p.task", F.col("p.line").alias("at_line"),
+        F.col("p.column").alias("node_column"), F.col("p.context").alias("node_context"),
+        F.when(F.col("p.task") == 0, tx.drop_trailing_cr(F.col("p.piece")))
+        .otherwise(F.col("p.piece")).alias("text"))
     for i, site in enumerate(sites, 1):
-        pieces = pieces.when(task == i, F.regexp_extract_all(
-            F.col("content"), F.lit(_cut(site)), F.lit(0)))
-    cut = todo.withColumn("pieces", pieces).select(
-        *SCAN_KEY, "path", "task", F.when(task > 0, F.col("content")).alias("content"),
-        F.when(task > 0, F.transform("pieces", F.char_length)).alias("sizes"),
-        F.posexplode("pieces").alias("nth", "piece"))
-    rows = cut.withColumn("text", F.when(task == 0, tx.drop_trailing_cr(F.col("piece")))
-                          .otherwise(F.col("piece"))).drop("piece")
+        if site.must_contain:
+            rows = rows.where((task != i) | _node_qualifies(site, text))
 
     on_line = task == 0
     qualified = [(task == i) for i in range(1, len(sites) + 1)]
-    hits = match_rules(rows, rules, unicode_space=True, gates={"pattern": on_line}, extra=[
+    found = match_rules(rows, rules, unicode_space=True, gates={"pattern": on_line}, extra=[
         on_line & tx.contains_any(text, DANGEROUS_SINKS) & tx.contains_any(text, USER_INPUTS),
         on_line & tx.contains_any(text, WEAK_CRYPTO_WORDS), *qualified])
-    lead = F.coalesce(*(F.when(task == i, _lead(s)) for i, s in enumerate(sites, 1)))
-    nodes = _with_node(hits, lead)
-    for i, site in enumerate(sites, 1):
-        if site.must_contain:
-            nodes = nodes.where((task != i) | _node_qualifies(site))
 
     patterns = [_Report(r.type, r.severity, r.description, PATTERN_CONFIDENCE,
                         r.vulnerability_class) for r in rules]
@@ -261,12 +285,10 @@ def advanced_findings(files: DataFrame, rules: Sequence[Rule] = PATTERN_RULES) -
     column = (F.when(rule < tainted, match_start(rules, unicode_space=True))
               .when(rule == tainted, 0).when(rule == crypto, 1)
               .otherwise(F.col("node_column")))
-    found = nodes.withColumn("line", F.when(on_line, F.col("nth") + 1)
-                             .otherwise(F.col("node_line")))
     confidence = rule_value(reports, "confidence")
     return _as_finding(
-        found, column=column, kind=rule_value(reports, "type"),
-        severity=rule_value(reports, "severity"),
+        found.withColumn("line", F.col("at_line")), column=column,
+        kind=rule_value(reports, "type"), severity=rule_value(reports, "severity"),
         description=rule_value(reports, "description"), confidence=confidence,
         context=F.when(on_line, tx.strip_space(text)).otherwise(F.col("node_context")),
         vulnerability=rule_value(reports, "vulnerability_class"))
