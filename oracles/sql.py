@@ -291,11 +291,18 @@ for key, (kind, exts, skip, node, sev, desc, conf, cls, cond) in SITES.items():
         + f" FROM {key}_t WHERE regexp_matches(tok, {_lit('(?s)^(?:' + node + ')$')}) AND {cond}", f"{key}_t")
 cte("advanced", " UNION ALL ".join(f"SELECT * FROM {t}" for t in ["adv_patterns", "tainted", "crypto", *(f"{k}_x" for k in SITES)]),
     "adv_patterns", "tainted", "crypto", *(f"{k}_x" for k in SITES))
+# Each language's token grammar, alternatives in order (block comments, triple
+# quotes, template, raw and character literals, then words, numbers, signs, blank runs).
+T_BLOCK = r"/\*[^*]*(?:\*+[^*/][^*]*)*\*+/"
+T_TRIPLE = r'"""[^"]*(?:"{1,2}[^"]+)*"""' + "|" + r"'''[^']*(?:'{1,2}[^']+)*'''"
+T_TEMPLATE = r"`[^`\\]*(?:\\.[^`\\]*)*`"
+T_CHAR = r"'(?:\\[^'\n]+|[^'\\\n])'"
+T_TAIL = r"[A-Za-z_$][A-Za-z0-9_$]*\(?|[0-9]+|[^\s]|\s+"
 TOKENS = {
-    "py": rf"#[^\n]*|{STR1}|{STR2}|[A-Za-z_$][A-Za-z0-9_$]*\(?|[0-9]+|[^\s]|\s+",
-    "js": rf"//[^\n]*|{STR1}|{TICK}|{STR2}|[A-Za-z_$][A-Za-z0-9_$]*\(?|[0-9]+|[^\s]|\s+",
-    "rs": rf"//[^\n]*|{STR2}|[A-Za-z_$][A-Za-z0-9_$]*\(?|[0-9]+|[^\s]|\s+",
-    "go": rf"//[^\n]*|{TICK}|{STR2}|[A-Za-z_$][A-Za-z0-9_$]*\(?|[0-9]+|[^\s]|\s+",
+    "py": rf"#[^\n]*|{T_TRIPLE}|{STR1}|{STR2}|{T_TAIL}",
+    "js": rf"//[^\n]*|{T_BLOCK}|{STR1}|{T_TEMPLATE}|{STR2}|{T_TAIL}",
+    "rs": rf"//[^\n]*|{T_BLOCK}|{LONG2}|{T_CHAR}|{T_TAIL}",
+    "go": rf"//[^\n]*|{T_BLOCK}|{TICK}|{STR2}|{T_CHAR}|{T_TAIL}",
 }
 TOKENS["ts"] = TOKENS["js"]
 cte("tokens0", " UNION ALL ".join(

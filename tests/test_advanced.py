@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tests.conftest import SF
 from tests.test_scan import same
 from wardlake.operators import advanced as a
@@ -102,3 +104,34 @@ def test_scan_is_linear_in_the_file():
 
     took(500)
     assert took(4000) < 2.5 * 2 * took(2000) + 0.05
+
+
+def test_tokens_by_language_forms(make_files):
+    files = make_files(
+        ("a.js", "x /* eval(x)\n still */ eval(y) `a\nb` 'c'"),
+        ("a.py", "s = '''a\n\"b\" ''' + \"\"\"c\"\"\"\n"),
+        ("a.rs", "let c = '('; let s = \"a\nb\"; fn f<'a>()"),
+        ("a.go", "r := `x(\ny` + 'a' /* c */"))
+    got = {}
+    for r in tokens.source_tokens(files).collect():
+        got.setdefault(r.path, []).append((r.line, r.column, r.token))
+    js = sorted(got["r/a.js"])
+    assert (1, 3, "/* eval(x)\n still */") in js and (2, 11, "eval(") in js
+    assert (2, 19, "`a\nb`") in js and (3, 4, "'c'") in js
+    assert (1, 5, "'''a\n\"b\" '''") in got["r/a.py"] and (2, 11, '"""c"""') in got["r/a.py"]
+    assert (1, 9, "'('") in got["r/a.rs"] and (1, 22, '"a\nb"') in got["r/a.rs"]
+    assert (2, 6, "'a'") in got["r/a.go"] and (2, 10, "/* c */") in got["r/a.go"]
+
+
+def test_tokens_on_one_long_line(make_files):
+    import time
+
+    def took(n):
+        files = make_files(("a.js", "f(a, 'b') + g; " * n))
+        begin = time.perf_counter()
+        rows = tokens.source_tokens(files).agg(F.count("*"), F.max("column")).first()
+        assert rows[0] == 8 * n and rows[1] == 15 * (n - 1) + 14
+        return time.perf_counter() - begin
+
+    took(2_000)
+    assert took(21_000) < 2.5 * took(10_500)

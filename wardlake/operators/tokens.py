@@ -1,72 +1,103 @@
 """Source files as token rows, comments and strings kept whole.
 
-Token positions are a running sum over a file. In SQL that is a window over the file, which
-would shuffle every token; here each file is lexed inside its own row's batch instead, so
-nothing is shuffled and tokens leave in bounded batches.
+One lexer per language, as a regular expression whose alternatives are tried in order: line and
+block comments, strings (triple-quoted, template and raw ones where the language has them),
+character literals, a word with its opening parenthesis, a number, any other sign, and runs of
+blanks. Its matches cover the file without gaps, so positions are running sums over them.
+
+Running sums stay inside the file's row: a parallel prefix scan (each round adds the value a
+power of two places back, log2(n) rounds of array transforms), so no token is shuffled and no
+Python worker is involved. Bytes, newlines and the start of the last line are summed; blank runs
+are dropped last.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from wardlake.functions import paths
 from wardlake.schemas import SCAN_KEY
 
 LEXED_EXTENSIONS = ("rs", "js", "ts", "py", "go")
-BATCH_TOKENS = 50_000
 
-# Comment or string | word with an opening parenthesis | word | number or any other sign.
-_COMMON = (r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"', r"[A-Za-z_$][A-Za-z0-9_$]*\(?", r"[0-9]+", r"[^\s]")
+# Literal forms, with loops unrolled and possessive so that long ones are matched without
+# backtracking or deep recursion.
+LINE_HASH = r"#[^\n]*+"
+LINE_SLASH = r"//[^\n]*+"
+BLOCK = r"/\*[^*]*+(?:\*++[^*/][^*]*+)*+\*++/"
+DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+LONG_DOUBLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+TEMPLATE = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
+RAW = r"`[^`]*+`"
+TRIPLE = r'"""[^"]*+(?:"{1,2}+[^"]++)*+"""' + "|" + r"'''[^']*+(?:'{1,2}+[^']++)*+'''"
+CHARACTER = r"'(?:\\[^'\n]++|[^'\\\n])'"
+_TAIL = (r"[A-Za-z_$][A-Za-z0-9_$]*+\(?", r"[0-9]++", r"[^\s]", r"\s++")
 TOKEN_REGEX = {
-    "py": "|".join((r"#[^\n]*", r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'", *_COMMON)),
-    "js": "|".join((r"//[^\n]*", r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'", r"`[^`]*`", *_COMMON)),
-    "rs": "|".join((r"//[^\n]*", *_COMMON)),
-    "go": "|".join((r"//[^\n]*", r"`[^`]*`", *_COMMON)),
+    "py": "|".join((LINE_HASH, TRIPLE, SINGLE, DOUBLE, *_TAIL)),
+    "js": "|".join((LINE_SLASH, BLOCK, SINGLE, TEMPLATE, DOUBLE, *_TAIL)),
+    "rs": "|".join((LINE_SLASH, BLOCK, LONG_DOUBLE, CHARACTER, *_TAIL)),
+    "go": "|".join((LINE_SLASH, BLOCK, RAW, DOUBLE, CHARACTER, *_TAIL)),
 }
 TOKEN_REGEX["ts"] = TOKEN_REGEX["js"]
 
+#: Rounds of the prefix scan: enough for 2^32 tokens in one file.
+ROUNDS = 32
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive prefix scan of an array by an associative ``combine``, in the row.
+
+    Round r combines each element with the one 2^r places before it; rounds past the array's
+    size leave it as it is. Each round's array is bound once, as the one element of an array.
+    """
+    out = values
+    for r in range(ROUNDS):
+        step = 1 << r
+        out = F.get(F.transform(F.array(out), lambda a: F.when(
+            F.size(a) > step,
+            F.transform(a, lambda x, i: F.when(i >= step, combine(F.get(a, i - step), x))
+                        .otherwise(x))).otherwise(a)), 0)
+    return out
+
+
+def before(values: Column, combine: Callable[[Column, Column], Column], first: Column) -> Column:
+    """Exclusive prefix scan: ``first`` for the first element."""
+    scanned = running(values, combine)
+    return F.concat(F.array(first), F.slice(scanned, 1, F.greatest(F.size(scanned) - 1, F.lit(0))))
+
+
+def newlines(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+
 
 def source_tokens(files: DataFrame) -> DataFrame:
     """(path, token, line, byte column) for every token of the supported languages."""
     language = paths.bare_extension(files["path"])
-    sources = files.where(language.isin(*LEXED_EXTENSIONS)).select(
-        *SCAN_KEY, "path", language.alias("language"), "content")
-    names = [*SCAN_KEY, "path"]
-    fields = ", ".join(f"{n} string" for n in names) + ", token string, line int, column int"
-    out_schema = pa.schema([*((n, pa.string()) for n in names), ("token", pa.string()),
-                            ("line", pa.int32()), ("column", pa.int32())])
-    patterns = dict(TOKEN_REGEX)
-
-    def lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {k: re.compile(v, re.ASCII) for k, v in patterns.items()}
-
-        def flush(columns: list[list]) -> pa.RecordBatch:
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
-
-        for batch in batches:
-            columns: list[list] = [[] for _ in out_schema]
-            for row in batch.to_pylist():
-                keys = [row[n] for n in names]
-                text, line, line_start, seen = row["content"], 1, 0, 0
-                for found in compiled[row["language"]].finditer(text):
-                    start = found.start()
-                    crossed = text.count("\n", seen, start)
-                    if crossed:
-                        line += crossed
-                        line_start = text.rfind("\n", seen, start) + 1
-                    seen = start
-                    column = len(text[line_start:start].encode()) + 1
-                    for c, v in zip(columns, (*keys, found.group(), line, column), strict=True):
-                        c.append(v)
-                    if len(columns[0]) >= BATCH_TOKENS:
-                        yield flush(columns)
-                        columns = [[] for _ in out_schema]
-            if columns[0]:
-                yield flush(columns)
-
-    return sources.mapInArrow(lex, fields)
+    pattern = F.lit(None).cast("string")
+    for name, regex in TOKEN_REGEX.items():
+        pattern = F.when(language == name, F.lit("(?s)" + regex)).otherwise(pattern)
+    lexed = files.where(language.isin(*LEXED_EXTENSIONS)).select(
+        *SCAN_KEY, "path", F.regexp_extract_all("content", pattern, F.lit(0)).alias("toks"))
+    toks = F.col("toks")
+    size = F.transform(toks, lambda t: F.octet_length(t).cast("long"))
+    breaks = F.transform(toks, lambda t: newlines(t).cast("long"))
+    # Byte offset just past a token's last newline, where it has one.
+    line_starts = F.transform(toks, lambda t: F.octet_length(F.substring_index(t, "\n", -1)))
+    positioned = lexed.select(
+        *SCAN_KEY, "path", "toks", before(size, lambda a, b: a + b, F.lit(0).cast("long")).alias("off"),
+        before(breaks, lambda a, b: a + b, F.lit(0).cast("long")).alias("nl"),
+        line_starts.alias("tail"), size.alias("size"))
+    ends = F.transform(F.arrays_zip("toks", "off", "size", "tail"), lambda z: F.when(
+        F.instr(z["toks"], "\n") > 0, z["off"] + z["size"] - z["tail"]).otherwise(F.lit(0).cast("long")))
+    starts = positioned.select(*SCAN_KEY, "path", "toks", "off", "nl",
+                               before(ends, F.greatest, F.lit(0).cast("long")).alias("line_start"))
+    rows = starts.select(*SCAN_KEY, "path", F.explode(F.arrays_zip(
+        "toks", "off", "nl", "line_start")).alias("t"))
+    return rows.where(~F.col("t.toks").rlike(r"^\s+$")).select(
+        *SCAN_KEY, "path", F.col("t.toks").alias("token"),
+        (F.col("t.nl") + 1).cast("int").alias("line"),
+        (F.col("t.off") - F.col("t.line_start") + 1).cast("int").alias("column"))
