@@ -10,8 +10,9 @@ order) if that n is at least twice its own; its root follows forms to the end (n
 on every step, so a chain ends).
 
 Method (sorted-list dynamic programming): a near pair whose shorter word has m code points
-shares its first or its last floor((m-1)/2) code points (the edit lies in one half). Words are
-dealt to blocks by those prefixes and (reversed) suffixes, for m their own length and one less.
+keeps one of three parts of it whole (see ``blocks``): its first m - c code points, its last
+m - a, or its first a with its last c (a = c = ceil(m/3)). Words are dealt to blocks by those
+keys, for m their own length and one less, so every near pair meets in some block.
 In a block, each word is a query that scans the block's sorted list: edit-matrix rows, banded to
 one edit, are reused for the prefix a word shares with the previous one (their LCP), and when
 a row has no cell within one edit, the whole range of words with that prefix is skipped by
@@ -53,18 +54,23 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_COUNT)
 
 
-def _half(m: Column) -> Column:
-    return F.floor((m - 1) / 2).cast("int")
-
-
 def blocks(vocab: DataFrame) -> DataFrame:
-    """(block, word): every word in the blocks of shorter length m = its length and one less."""
+    """(block, word): every word in the three blocks of each shorter length m it can pair at:
+    its length and one less.
+
+    For m, parts a = c = ceil(m/3) and b = m - a - c; blocks share the first m - c code points,
+    or the last m - a, or the first a together with the last c. One edit at position p keeps
+    the first if p >= a + b, the second if p < a, the third otherwise.
+    """
     size = F.char_length("word")
     keys = []
     for shorter in (size, size - 1):
-        half = _half(shorter)
-        for side, part in (("p", F.substring("word", 1, half)),
-                           ("s", F.reverse(F.substring(F.reverse("word"), 1, half)))):
+        a = F.ceil(shorter / 3).cast("int")
+        start = F.substring("word", 1, shorter - a)
+        end = F.reverse(F.substring(F.reverse("word"), 1, shorter - a))
+        ends = F.concat(F.substring("word", 1, a), F.lit("\u0002"),
+                        F.reverse(F.substring(F.reverse("word"), 1, a)))
+        for side, part in (("p", start), ("s", end), ("b", ends)):
             keys.append(F.when(shorter >= MIN_LENGTH, F.concat_ws(
                 "\u0001", F.lit(side), shorter.cast("string"), part)))
     return vocab.select(F.explode(F.array_compact(F.array(*keys))).alias("block"), "word")
