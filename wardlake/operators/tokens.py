@@ -2,13 +2,13 @@
 
 One lexer per language, as a regular expression whose alternatives are tried in order: line and
 block comments, strings (triple-quoted, template and raw ones where the language has them),
-character literals, a word with its opening parenthesis, a number, any other sign, and runs of
-blanks. Its matches cover the file without gaps, so positions are running sums over them.
+character literals, a word with its opening parenthesis, a number, any other sign; each with
+the blanks before it. Its matches cover the file without gaps, so positions are running sums.
 
 Running sums stay inside the file's row: a parallel prefix scan (each round adds the value a
 power of two places back, log2(n) rounds of array transforms), so no token is shuffled and no
-Python worker is involved. Bytes, newlines and the start of the last line are summed; blank runs
-are dropped last.
+Python worker is involved. Bytes and newlines of the pieces are summed, and so are the byte
+lengths of the lines, which give each line's start.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ TEMPLATE = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
 RAW = r"`[^`]*+`"
 TRIPLE = r'"""[^"]*+(?:"{1,2}+[^"]++)*+"""' + "|" + r"'''[^']*+(?:'{1,2}+[^']++)*+'''"
 CHARACTER = r"'(?:\\[^'\n]++|[^'\\\n])'"
-_TAIL = (r"[A-Za-z_$][A-Za-z0-9_$]*+\(?", r"[0-9]++", r"[^\s]", r"\s++")
+_TAIL = (r"[A-Za-z_$][A-Za-z0-9_$]*+\(?", r"[0-9]++", r"[^\s]")
 TOKEN_REGEX = {
     "py": "|".join((LINE_HASH, TRIPLE, SINGLE, DOUBLE, *_TAIL)),
     "js": "|".join((LINE_SLASH, BLOCK, SINGLE, TEMPLATE, DOUBLE, *_TAIL)),
@@ -48,56 +48,78 @@ TOKEN_REGEX["ts"] = TOKEN_REGEX["js"]
 ROUNDS = 32
 
 
-def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """Inclusive prefix scan of an array by an associative ``combine``, in the row.
+def _round(values: Column, step: int, combine: Callable[[Column, Column], Column]) -> Column:
+    # The round's array is bound once, as the one element of an array.
+    return F.get(F.transform(F.array(values), lambda a: F.when(
+        F.size(a) > step,
+        F.transform(a, lambda x, i: F.when(i >= step, combine(F.get(a, i - step), x))
+                    .otherwise(x))).otherwise(a)), 0)
 
-    Round r combines each element with the one 2^r places before it; rounds past the array's
-    size leave it as it is. Each round's array is bound once, as the one element of an array.
-    """
-    out = values
-    for r in range(ROUNDS):
-        step = 1 << r
-        out = F.get(F.transform(F.array(out), lambda a: F.when(
-            F.size(a) > step,
-            F.transform(a, lambda x, i: F.when(i >= step, combine(F.get(a, i - step), x))
-                        .otherwise(x))).otherwise(a)), 0)
-    return out
 
+def running(rows: DataFrame, name: str, combine: Callable[[Column, Column], Column],
+            per_select: int = 4) -> DataFrame:
+    """Replaces array column ``name`` by its inclusive prefix scan under an associative
+    ``combine``, in the row.
 
-def before(values: Column, combine: Callable[[Column, Column], Column], first: Column) -> Column:
-    """Exclusive prefix scan: ``first`` for the first element."""
-    scanned = running(values, combine)
-    return F.concat(F.array(first), F.slice(scanned, 1, F.greatest(F.size(scanned) - 1, F.lit(0))))
+    Round r combines each element with the one 2^r places before it; rounds past the array's
+    size leave it as it is. A few rounds go into each projection, so that no expression is
+    nested deeper than the analyzer resolves at once.
+    """
+    for first in range(0, ROUNDS, per_select):
+        scanned = F.col(name)
+        for r in range(first, min(first + per_select, ROUNDS)):
+            scanned = _round(scanned, 1 << r, combine)
+        rows = rows.withColumn(name, scanned)
+    return rows
 
 
 def newlines(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def _exclusive(name: str) -> Column:
+    """An inclusive scan shifted by one: what comes before each element."""
+    return F.concat(F.array(F.lit(0).cast("long")),
+                    F.slice(name, 1, F.greatest(F.size(name) - 1, F.lit(0))))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def source_tokens(files: DataFrame) -> DataFrame:
-    """(path, token, line, byte column) for every token of the supported languages."""
+    """(path, token, line, byte column) for every token of the supported languages.
+
+    A piece is a token with the blanks before it. Pieces cover the file up to its trailing
+    blanks, so a piece starts where the bytes of the pieces before it end; its token's line is
+    one more than the newlines before the token, and its column counts from the start of that
+    line, known from the lines' byte lengths.
+    """
     language = paths.bare_extension(files["path"])
     pattern = F.lit(None).cast("string")
     for name, regex in TOKEN_REGEX.items():
-        pattern = F.when(language == name, F.lit("(?s)" + regex)).otherwise(pattern)
+        pattern = F.when(language == name, F.lit(rf"(?s)\s*+({regex})")).otherwise(pattern)
+    content = F.col("content")
     lexed = files.where(language.isin(*LEXED_EXTENSIONS)).select(
-        *SCAN_KEY, "path", F.regexp_extract_all("content", pattern, F.lit(0)).alias("toks"))
-    toks = F.col("toks")
-    size = F.transform(toks, lambda t: F.octet_length(t).cast("long"))
-    breaks = F.transform(toks, lambda t: newlines(t).cast("long"))
-    # Byte offset just past a token's last newline, where it has one.
-    line_starts = F.transform(toks, lambda t: F.octet_length(F.substring_index(t, "\n", -1)))
-    positioned = lexed.select(
-        *SCAN_KEY, "path", "toks", before(size, lambda a, b: a + b, F.lit(0).cast("long")).alias("off"),
-        before(breaks, lambda a, b: a + b, F.lit(0).cast("long")).alias("nl"),
-        line_starts.alias("tail"), size.alias("size"))
-    ends = F.transform(F.arrays_zip("toks", "off", "size", "tail"), lambda z: F.when(
-        F.instr(z["toks"], "\n") > 0, z["off"] + z["size"] - z["tail"]).otherwise(F.lit(0).cast("long")))
-    starts = positioned.select(*SCAN_KEY, "path", "toks", "off", "nl",
-                               before(ends, F.greatest, F.lit(0).cast("long")).alias("line_start"))
-    rows = starts.select(*SCAN_KEY, "path", F.explode(F.arrays_zip(
-        "toks", "off", "nl", "line_start")).alias("t"))
-    return rows.where(~F.col("t.toks").rlike(r"^\s+$")).select(
-        *SCAN_KEY, "path", F.col("t.toks").alias("token"),
-        (F.col("t.nl") + 1).cast("int").alias("line"),
-        (F.col("t.off") - F.col("t.line_start") + 1).cast("int").alias("column"))
+        *SCAN_KEY, "path", F.regexp_extract_all(content, pattern, F.lit(0)).alias("pieces"),
+        F.regexp_extract_all(content, pattern, F.lit(1)).alias("toks"),
+        F.transform(F.split(content, "\n"), lambda line: F.octet_length(line).cast("long") + 1)
+        .alias("line_starts"))
+    lexed = lexed.select(
+        *SCAN_KEY, "path", "toks", "line_starts",
+        F.transform("pieces", lambda p: F.octet_length(p).cast("long")).alias("ends"),
+        F.transform("pieces", lambda p: newlines(p).cast("long")).alias("breaks"),
+        F.zip_with("pieces", "toks", lambda p, t: (newlines(p) - newlines(t)).cast("long"))
+        .alias("lead_breaks"))
+    for name in ("ends", "breaks", "line_starts"):
+        lexed = running(lexed, name, _plus)
+    # Lines and columns are worked out in the row, so that no token row carries the arrays.
+    placed = lexed.select(*SCAN_KEY, "path", "toks", "ends", "lead_breaks",
+                          _exclusive("breaks").alias("before"),
+                          _exclusive("line_starts").alias("line_starts"))
+    spots = F.transform(F.arrays_zip("toks", "ends", "lead_breaks", "before"), lambda z: F.struct(
+        z["toks"].alias("token"), (z["before"] + z["lead_breaks"] + 1).cast("int").alias("line"),
+        (z["ends"] - F.octet_length(z["toks"]) + 1 - F.element_at(
+            "line_starts", (z["before"] + z["lead_breaks"] + 1).cast("int"))).cast("int")
+        .alias("column")))
+    return placed.select(*SCAN_KEY, "path", F.inline(spots))
