@@ -42,8 +42,13 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies: the smallest id."""
-    kept = (simhash.similar_documents(docs).where("representative")
+    """One document of each SimHash group: the smallest id.
+
+    The SimHash operator (op7) with its contract's parameters: 3-word shingles, fingerprints
+    linked at 2 or fewer differing bits, groups as connected components; no other check.
+    """
+    kept = (simhash.near_duplicates(docs, width=simhash.SHINGLE, distance=simhash.DISTANCE)
+            .where("representative")
             .select(F.col("doc_id").alias("k_id"), F.col("d1").alias("k1"),
                     F.col("d2").alias("k2")).distinct())
     d1, d2 = digest(F.coalesce("text", F.lit("")))

@@ -304,3 +304,14 @@ def test_postorder_positions(spark):
                                       "level int, k long, n long, top int")
         got = frame.select(merkle.postorder("level", "k", "n", "top").alias("p")).collect()
         assert [r.p for r in got] == list(range(len(order)))
+
+
+def test_pipeline_keeps_one_document_of_each_simhash_group(spark):
+    import corpus_pipeline
+    from wardlake.llm import queries, simhash
+
+    docs = queries.documents(spark, SF)
+    groups = simhash.near_duplicates(docs, width=3, distance=2).collect()
+    want = sorted({r.component_id for r in groups})
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == want and len(want) < docs.count()
