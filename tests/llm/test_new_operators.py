@@ -315,3 +315,14 @@ def test_pipeline_keeps_one_document_of_each_simhash_group(spark):
     want = sorted({r.component_id for r in groups})
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
     assert got == want and len(want) < docs.count()
+
+
+def test_language_needs_a_letter(spark):
+    from wardlake.llm import langid
+
+    train = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")],
+                                  "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(5, "½ ² ³ ① 12"), (6, None), (7, "ÿ"), (8, "the dog")],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.train(train)).collect()}
+    assert got[5] == "und" and got[6] == "und" and got[7] != "und" and got[8] == "en"

@@ -13,12 +13,12 @@ The model that is sent to the tasks is bounded: of each order and language the m
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ from wardlake.llm.common import stored
 ORDER, GRAMS, UNKNOWN = 3, 100_000, "und"
 #: Bytes that are turned to numbers at a time.
 CHUNK = 1 << 21
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a code point of Unicode category L, as str.isalpha() tells.
+_LETTER = regex.compile(r"\p{L}")
 _BLANKED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 _PAD = b" " * ORDER
 
