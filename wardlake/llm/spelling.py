@@ -16,7 +16,8 @@ keys, for m their own length and one less, so every near pair meets in some bloc
 In a block, each word is a query that scans the block's sorted list: edit-matrix rows, banded to
 one edit, are reused for the prefix a word shares with the previous one (their LCP), and when
 a row has no cell within one edit, the whole range of words with that prefix is skipped by
-bisection. Blocks run in ``applyInPandas``; roots come from pointer jumping over written tables.
+bisection; suffix blocks are scanned on reversed words. A block is one array row, scanned in
+an Arrow-batched pandas UDF; roots come from pointer jumping over written tables.
 
 Edge cases: an empty or wordless table gives no rows; ties in n are broken by code point
 order; repeated rows count each time; other columns of the input are not read.
@@ -29,6 +30,7 @@ from bisect import bisect_left
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlake.llm.common import LOWER, UPPER, stored
 
@@ -76,23 +78,29 @@ def blocks(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.explode(F.array_compact(F.array(*keys))).alias("block"), "word")
 
 
-def _step(row: list[int], query: str, ch: str, t: int) -> list[int]:
-    """Row t+1 of the edit matrix of query against a prefix ending in ch, banded: cells more
-    than one edit away hold 2."""
-    out = [2] * (len(query) + 1)
-    if t + 1 <= 1:
-        out[0] = t + 1
-    for j in range(max(1, t), min(len(query), t + 2) + 1):
-        best = min(row[j] + 1, out[j - 1] + 1, row[j - 1] + (query[j - 1] != ch))
-        out[j] = min(best, 2)
-    return out
+def _step(row: tuple[int, int, int], query: str, ch: str, t: int) -> tuple[int, int, int]:
+    """Row t+1 of the edit matrix of ``query`` against a word prefix ending in ``ch``, from row
+    t, banded to one edit: a row holds the cells of columns t-1, t, t+1 (beyond the query or
+    the band: 2, that is, two edits or more)."""
+    x, y, z = row
+    last = len(query)
+    left = min(y + 1, x + (query[t - 1] != ch) if t >= 1 else 2, 2) if t <= last else 2
+    middle = min(z + 1, left + 1, y + (query[t] != ch), 2) if t + 1 <= last else 2
+    right = min(middle + 1, z + (query[t + 1] != ch), 2) if t + 2 <= last else 2
+    return left, middle, right
 
 
-def near_in_sorted(words: list[str]) -> list[tuple[str, str]]:
-    """All (query, word) of a sorted list one edit apart, by the banded, prefix-sharing scan."""
+def near_in_sorted(words: list[str], queries: list[str] | None = None) -> list[tuple[str, str]]:
+    """All (query, word) one edit apart, ``words`` sorted, by the banded, prefix-sharing scan.
+
+    Rows of the edit matrix are kept per prefix of the word last looked at; the next word
+    reuses those of the prefix it shares (their LCP). A row without a cell within one edit
+    ends the scan of every word with that prefix: the range is skipped by bisection.
+    """
     found = []
-    for query in words:
-        rows = [[min(j, 2) for j in range(len(query) + 1)]]
+    for query in words if queries is None else queries:
+        size = len(query)
+        rows = [(2, 0, 1 if size >= 1 else 2)]
         held = ""  # the prefix whose rows are in ``rows``
         at = 0
         while at < len(words):
@@ -104,8 +112,9 @@ def near_in_sorted(words: list[str]) -> list[tuple[str, str]]:
             del rows[shared + 1:]
             skipped = False
             for t in range(shared, len(word)):
-                rows.append(_step(rows[-1], query, word[t], t))
-                if min(rows[-1]) > 1:
+                row = _step(rows[-1], query, word[t], t)
+                rows.append(row)
+                if row[0] > 1 and row[1] > 1 and row[2] > 1:
                     prefix = word[:t + 1]
                     held = prefix
                     following = prefix[:-1] + chr(ord(prefix[-1]) + 1)
@@ -115,23 +124,40 @@ def near_in_sorted(words: list[str]) -> list[tuple[str, str]]:
             if skipped:
                 continue
             held = word
-            if rows[-1][len(query)] == 1:
+            place = size - len(word) + 1
+            if 0 <= place <= 2 and rows[-1][place] == 1:
                 found.append((query, word))
             at += 1
     return found
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    words = sorted(set(rows["word"]))
-    pairs = near_in_sorted(words)
-    return pd.DataFrame(pairs, columns=["word", "near"])
+def block_pairs(block: str, members: list[str]) -> list[tuple[str, str]]:
+    """Near pairs of one block, both ways. Only words of the block's shorter length m are
+    queries (the other word of a pair has m or m + 1 code points). Words of a suffix block are
+    scanned reversed (one edit apart either way), so that their shared part is a prefix."""
+    side, shorter, _ = block.split("\u0001", 2)
+    backwards = side == "s"
+    words = sorted({w[::-1] for w in members} if backwards else set(members))
+    queries = [w for w in words if len(w) == int(shorter)]
+    pairs = near_in_sorted(words, queries)
+    if backwards:
+        pairs = [(a[::-1], b[::-1]) for a, b in pairs]
+    return pairs + [(b, a) for a, b in pairs]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()),
+                                         T.StructField("near", T.StringType())])))
+def _pairs_of_blocks(blocks: pd.Series, members: pd.Series) -> pd.Series:
+    return pd.Series([block_pairs(b, list(m)) for b, m in zip(blocks, members)])
 
 
 def near_pairs(vocab: DataFrame) -> DataFrame:
-    """(word, near): every near pair in both orders, once."""
-    dealt = blocks(vocab)
-    pairs = dealt.groupBy("block").applyInPandas(_block_pairs, "word string, near string")
-    return pairs.distinct()
+    """(word, near): every near pair in both orders, once. A block's words travel as one array
+    row (a block holds the words sharing a key of at least three code points), and many blocks
+    go to Python in one Arrow batch."""
+    dealt = blocks(vocab).groupBy("block").agg(F.collect_list("word").alias("members"))
+    pairs = dealt.select(F.explode(_pairs_of_blocks("block", "members")).alias("p"))
+    return pairs.select("p.word", "p.near").distinct()
 
 
 def variants(docs: DataFrame) -> DataFrame:
